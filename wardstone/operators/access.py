@@ -15,8 +15,7 @@ def expand_groups(principals: DataFrame, group_map: DataFrame) -> DataFrame:
     ``group_map`` holds (group_name, mapped array). An empty map leaves the groups exactly as they were.
     """
     entries = group_map.select(F.col("group_name").alias("_g"), F.explode("mapped").alias("_m"))
-    # existence flag kept in the data so that the plan needs no action on the driver
-    any_entry = entries.limit(1).agg((F.count("*") > 0).alias("_mapped"))
+    mapped_at_all = entries.limit(1).agg((F.count("*") > 0).alias("_mapped")).scalar()
     member = principals.select("principal_id", F.explode("groups").alias("_raw")).select(
         "principal_id", normalize_group("_raw").alias("_g"), F.col("_raw").isNotNull().alias("_ok")
     ).filter("_ok").drop("_ok")
@@ -26,11 +25,12 @@ def expand_groups(principals: DataFrame, group_map: DataFrame) -> DataFrame:
         .groupBy("principal_id")
         .agg(F.array_sort(F.collect_set("_g")).alias("_expanded"))
     )
-    out = principals.join(expanded, "principal_id", "left").join(F.broadcast(any_entry), F.lit(True), "left")
     empty = F.array().cast("array<string>")
-    return out.withColumn(
-        "groups", F.when(F.col("_mapped"), F.coalesce("_expanded", empty)).otherwise(F.col("groups"))
-    ).drop("_expanded", "_mapped")
+    return (
+        principals.join(expanded, "principal_id", "left")
+        .withColumn("groups", F.when(mapped_at_all, F.coalesce("_expanded", empty)).otherwise(F.col("groups")))
+        .drop("_expanded")
+    )
 
 
 def with_principal_tokens(principals: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ def rrf_fuse(rankings: DataFrame, k: int = V.RRF_K, limit: int | None = None) ->
     )
     order = [F.col("score").desc(), F.col("_first").asc()]
     if limit is not None:
-        return topk_per_key(fused, ["query_id"], order, limit, ["node_id"]).drop("_first")
+        return topk_per_key(fused, ["query_id"], order, limit).drop("_first")
     w = Window.partitionBy("query_id").orderBy(*order)
     return fused.withColumn("rank", F.row_number().over(w)).drop("_first")
 
@@ -153,7 +153,7 @@ def image_paths(ranked: DataFrame, n: int = V.VLM_MAX_IMAGES) -> DataFrame:
         .groupBy("query_id", path.alias("image_path"))
         .agg(F.min("rank").alias("rank"))
     )
-    return topk_per_key(first, ["query_id"], [F.col("rank").asc()], max(1, n), ["image_path"], rank_col="position")
+    return topk_per_key(first, ["query_id"], [F.col("rank").asc()], max(1, n), rank_col="position")
 
 
 def best_node_per_doc(nodes: DataFrame, pos: str = "node_id", keys: list[str] | None = None) -> DataFrame:
@@ -167,7 +167,7 @@ def best_node_per_doc(nodes: DataFrame, pos: str = "node_id", keys: list[str] |
     )
     docs = nodes.filter(F.coalesce(strip("doc_id"), F.lit("")) != "").withColumn("node_weight", weight)
     order = [F.col("node_weight").desc(), F.col(pos).asc()]
-    return topk_per_key(docs, [*(keys or []), "doc_id"], order, 1, [pos], rank_col="_one", salts=8).drop("_one")
+    return topk_per_key(docs, [*(keys or []), "doc_id"], order, 1, rank_col="_one").drop("_one")
 
 
 def keep_indices(ranked: DataFrame, indices: str) -> DataFrame:

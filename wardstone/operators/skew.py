@@ -13,30 +13,42 @@ def plan_size(df: DataFrame) -> int:
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """A broadcast hint only under a checked size; otherwise the join is left to AQE's skew handling."""
+    """A broadcast hint only under a checked plan size; otherwise the join is left to AQE's skew handling.
+
+    For plain scans and projections, whose estimate cannot fall short; exploded sides use the counted form.
+    """
     return F.broadcast(df) if plan_size(df) <= limit else df
 
 
+def broadcast_counted(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
+    """A broadcast hint only after counting that the side really has few rows (a small job of its own)."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def let(value: Column, body) -> Column:
+    """Bind a value once for use inside lambdas (an expression named in a lambda runs per element)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def topk_per_key(
-    df: DataFrame, keys: list[str], order: list[Column], k, salt: list[str], rank_col: str = "rank", salts: int = 64
+    df: DataFrame, keys: list[str], order: list[Column], k: int, rank_col: str = "rank", k_col: str | None = None, salts: int = 16
 ) -> DataFrame:
-    """First ``k`` rows per key, ranked from 1.
+    """First ``k`` rows per key, ranked from 1; ``k_col`` may ask for fewer per key.
 
-    Every task first keeps k rows per (key, salt): a hot key is cut down by ``salts`` tasks in parallel,
-    so the last ranking of a key sees at most ``salts * k`` rows whatever its size.
-    ``k`` is an int or the name of a column that is constant within the key.
+    Every task cuts its own rows to k per key before anything is shuffled (Catalyst's window group
+    limit). The survivors of a hot key meet in ``salts`` tasks first, so the last ranking of a key sees
+    at most ``salts * k`` rows whatever the key's size.
     """
-    bound = F.lit(k) if isinstance(k, int) else F.col(k)
-    part = F.pmod(F.xxhash64(*salt), F.lit(salts))
     first = Window.partitionBy(*keys, "_salt").orderBy(*order)
     last = Window.partitionBy(*keys).orderBy(*order)
     cut = (
-        df.withColumn("_salt", part)
+        df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
         .withColumn("_r", F.row_number().over(first))
-        .filter(F.col("_r") <= bound)
+        .filter(F.col("_r") <= k)
         .drop("_r", "_salt")
     )
-    return cut.withColumn(rank_col, F.row_number().over(last)).filter(F.col(rank_col) <= bound)
+    out = cut.withColumn(rank_col, F.row_number().over(last)).filter(F.col(rank_col) <= k)
+    return out if k_col is None else out.filter(F.col(rank_col) <= F.col(k_col))
 
 
 def last_before(
@@ -68,18 +80,17 @@ def nearest_rank_percentiles(
     Counting, not sorting: a histogram per key (partial aggregation) finds the bucket that holds each
     wanted position, and only the distinct values of those buckets are ranked.
     """
+    if not keys:
+        whole = nearest_rank_percentiles(df.withColumn("_all", F.lit(1)), ["_all"], value, percents, buckets)
+        return whole.drop("_all")
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
     span = rows.groupBy(*keys).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.count("*").alias("_n"))
-    counted = rows.groupBy(*keys, "_x").count() if keys else rows.groupBy("_x").count()
-
-    def join(a, b, how="inner"):
-        return a.join(b, keys, how) if keys else a.join(F.broadcast(b), F.lit(True), how)
-
+    counted = rows.groupBy(*keys, "_x").count()
     width = F.col("_hi") - F.col("_lo")
     slot = F.when(width > 0, F.least(F.floor((F.col("_x") - F.col("_lo")) / width * buckets), F.lit(buckets - 1))).otherwise(
         F.lit(0).cast("bigint")
     )
-    placed = join(counted, span).withColumn("_slot", slot)
+    placed = counted.join(span, keys).withColumn("_slot", slot)
     hist = placed.groupBy(*keys, "_slot").agg(F.sum("count").alias("_c"), F.first("_n").alias("_n"))
     run = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hist = hist.withColumn("_upto", F.sum("_c").over(run))
