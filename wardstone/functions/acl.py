@@ -126,4 +126,6 @@ def decision_or_default(decision: Column, fail_closed: bool = True) -> Column:
     return F.coalesce(decision, _decision(not fail_closed, reason))
 
 
-EMPTY_ACL_DECISION = _decision(False, "default_deny")
+def empty_acl_decision() -> Column:
+    """Decision for a resource that names nobody."""
+    return _decision(False, "default_deny")

@@ -36,49 +36,51 @@ def _tidy_paths(arr: Column) -> Column:
     return F.array_distinct(F.concat(clean, F.transform(clean, F.lower)))
 
 
-def metadata_filter(flt: Column, node: dict) -> Column:
-    """AND over the filter's parts, OR inside each; a null filter or an empty part admits every node.
+def prepare(flt: Column) -> Column:
+    """The filter with its lists trimmed and its paths normalised, so that checks per node stay plain."""
+    tidy = {n: _tidy(flt[n]) for n in ("sources", "mime_types", "doc_ids", "tags")}
+    paths = {n: _tidy_paths(flt[n]) for n in ("folder_prefixes", "path_prefixes")}
+    parts = {**tidy, **paths, **{n: flt[n] for n in DATES}}
+    return F.when(flt.isNotNull(), F.struct(*[c.alias(n) for n, c in parts.items()]))
+
+
+def admits(flt: Column, node: dict) -> Column:
+    """AND over a prepared filter's parts, OR inside each; a null filter or an empty part admits every node.
 
     ``node`` maps source, mime_type, doc_id, tags, folder_path, folder_ancestors, drive_path,
     path_ancestors, source_path and modified_time to columns; absent ones never match.
     """
-
-    def has(name):
-        return name in node
-
-    def member(values, name):
-        if not has(name):
-            return F.lit(False)
-        return F.coalesce(F.array_contains(values, col(node[name])), F.lit(False))
-
-    def overlap(values, name):
-        if not has(name):
-            return F.lit(False)
-        return F.coalesce(F.arrays_overlap(values, col(node[name])), F.lit(False))
-
-    def part(values, test):
-        return (F.size(values) == 0) | test
-
-    folders, paths = _tidy_paths(flt["folder_prefixes"]), _tidy_paths(flt["path_prefixes"])
-    tests = [
-        part(_tidy(flt["sources"]), member(_tidy(flt["sources"]), "source")),
-        part(_tidy(flt["mime_types"]), member(_tidy(flt["mime_types"]), "mime_type")),
-        part(_tidy(flt["doc_ids"]), member(_tidy(flt["doc_ids"]), "doc_id")),
-        part(_tidy(flt["tags"]), overlap(_tidy(flt["tags"]), "tags")),
-        part(folders, overlap(folders, "folder_ancestors") | member(folders, "folder_path")),
-        part(
-            paths,
-            overlap(paths, "path_ancestors") | member(paths, "drive_path") | member(paths, "source_path"),
-        ),
-    ]
-    if has("modified_time"):
+    no = F.lit(False)
+
+    def member(part, name):
+        return F.array_contains(flt[part], col(node[name])) if name in node else no
+
+    def overlap(part, name):
+        return F.arrays_overlap(flt[part], col(node[name])) if name in node else no
+
+    tests = {
+        "sources": member("sources", "source"),
+        "mime_types": member("mime_types", "mime_type"),
+        "doc_ids": member("doc_ids", "doc_id"),
+        "tags": overlap("tags", "tags"),
+        "folder_prefixes": overlap("folder_prefixes", "folder_ancestors") | member("folder_prefixes", "folder_path"),
+        "path_prefixes": overlap("path_prefixes", "path_ancestors")
+        | member("path_prefixes", "drive_path")
+        | member("path_prefixes", "source_path"),
+    }
+    out = F.lit(True)
+    for part, test in tests.items():
+        out = out & ((F.size(flt[part]) == 0) | test)
+    if "modified_time" in node:
         m = col(node["modified_time"])
-        tests.append(flt["modified_from"].isNull() | F.coalesce(m >= flt["modified_from"], F.lit(False)))
-        tests.append(flt["modified_to"].isNull() | F.coalesce(m <= flt["modified_to"], F.lit(False)))
-    out = tests[0]
-    for t in tests[1:]:
-        out = out & t
-    return flt.isNull() | out
+        out = out & (flt["modified_from"].isNull() | (m >= flt["modified_from"]))
+        out = out & (flt["modified_to"].isNull() | (m <= flt["modified_to"]))
+    return flt.isNull() | F.coalesce(out, no)
+
+
+def metadata_filter(flt: Column, node: dict) -> Column:
+    """``admits`` for a filter as the request wrote it."""
+    return admits(prepare(flt), node)
 
 
 def literal_filter(node: dict, **parts) -> Column:

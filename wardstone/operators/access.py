@@ -73,14 +73,14 @@ def visible_nodes(nodes: DataFrame, requests: DataFrame, node_columns: dict | No
     pools = requests.select(*cols).dropDuplicates(["pool_id"])
     pairs = signature_pools(nodes.select("signature"), pools)
     if has_filters:
-        pairs = pairs.join(pools.select("pool_id", "filters"), "pool_id")
+        pairs = pairs.join(pools.select("pool_id", FL.prepare(F.col("filters")).alias("filters")), "pool_id")
         entry = F.struct("pool_id", "filters")
     else:
         entry = F.struct("pool_id")
     table = pairs.groupBy("signature").agg(F.array_sort(F.collect_list("pool_id")).alias("_ids"), F.collect_list(entry).alias("_pools"))
     out = nodes.join(table, "signature")
     if has_filters:
-        seen = F.filter("_pools", lambda p: FL.metadata_filter(p["filters"], node_columns))
+        seen = F.filter("_pools", lambda p: FL.admits(p["filters"], node_columns))
         out = out.withColumn("pools", F.array_sort(F.transform(seen, lambda p: p["pool_id"])))
     else:
         out = out.withColumn("pools", F.col("_ids"))
@@ -136,6 +136,6 @@ def authorize_ranked(ranked: DataFrame, principals: DataFrame) -> tuple[DataFram
         ranked.select("query_id")
         .distinct()
         .join(last, "query_id", "left")
-        .withColumn("decision", F.coalesce("decision", A.EMPTY_ACL_DECISION))
+        .withColumn("decision", F.coalesce("decision", A.empty_acl_decision()))
     )
     return allowed, runs
