@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from wardstone.functions import acl as A
 from wardstone.functions import filters as FL
 from wardstone.functions.identity import normalize_group
-from wardstone.operators.skew import broadcast_if_small
+from wardstone.operators.skew import broadcast_if_small, settle
 
 
 def expand_groups(principals: DataFrame, group_map: DataFrame) -> DataFrame:
@@ -59,7 +59,7 @@ def make_pools(requests: DataFrame) -> DataFrame:
     key = ["tokens", "filters"] if "filters" in requests.columns else ["tokens"]
     named = requests.groupBy(*key).agg(F.min("query_id").alias("pool_id"))
     cond = [requests[c].eqNullSafe(named[c]) for c in key]
-    return requests.join(named, cond).select(requests["*"], named["pool_id"])
+    return settle(requests.join(named, cond).select(requests["*"], named["pool_id"]))
 
 
 def visible_nodes(nodes: DataFrame, requests: DataFrame, node_columns: dict | None = None) -> DataFrame:
@@ -77,7 +77,11 @@ def visible_nodes(nodes: DataFrame, requests: DataFrame, node_columns: dict | No
         entry = F.struct("pool_id", "filters")
     else:
         entry = F.struct("pool_id")
-    table = pairs.groupBy("signature").agg(F.array_sort(F.collect_list("pool_id")).alias("_ids"), F.collect_list(entry).alias("_pools"))
+    table = settle(
+        pairs.groupBy("signature").agg(
+            F.array_sort(F.collect_list("pool_id")).alias("_ids"), F.collect_list(entry).alias("_pools")
+        )
+    )
     out = nodes.join(table, "signature")
     if has_filters:
         seen = F.filter("_pools", lambda p: FL.admits(p["filters"], node_columns))

@@ -4,6 +4,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wardstone.session import checkpoint_dir
+
 BROADCAST_LIMIT = 64 * 1024 * 1024
 
 
@@ -25,6 +27,16 @@ def broadcast_counted(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """A small intermediate made once and kept in the cluster's checkpoint folder.
+
+    Used for per-request and per-signature tables that several later steps read: plans stay short, and a
+    lost executor re-reads the folder instead of recomputing the history.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def let(value: Column, body) -> Column:
     """Bind a value once for use inside lambdas (an expression named in a lambda runs per element)."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -7,6 +7,7 @@ from wardstone.functions.text import content_hash
 from wardstone.operators.chunking import prose_nodes
 from wardstone.operators.images import embed
 from wardstone.operators.metrics import registry_diff
+from wardstone.operators.skew import settle
 from wardstone.sources.tables import NodeStore, read_or_none, run_event, upsert_registry
 
 
@@ -36,7 +37,7 @@ def ingest(
         version = _version(spark, f"{state_dir}/registry")
         old = None if version is None else spark.read.parquet(version)
         base = old if old is not None else spark.createDataFrame([], "doc_id string, content_hash string")
-        diff = registry_diff(base, new).checkpoint()
+        diff = settle(registry_diff(base, new))
         counts = {r.change: r["count"] for r in diff.groupBy("change").count().collect()}
         if not sync_deletes:
             counts["deleted"] = 0

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from wardstone import vocab as V
 from wardstone.functions import paths as P
 from wardstone.functions.text import content_hash, strip, text_or_empty
+from wardstone.operators.skew import settle
 
 TEXT_SUFFIXES = [".txt", ".md"]
 PRIVATE_ACL = (
@@ -112,7 +113,7 @@ def resolve_tree(files: DataFrame, root_id: str, max_depth: int = 64) -> tuple[D
             .agg(F.min("folder_path").alias("folder_path"))
             .join(visited.select("folder_id"), "folder_id", "left_anti")
         )
-        step = step.checkpoint()
+        step = settle(step)
         if step.isEmpty():
             break
         frontier = step
