@@ -1,3 +1,10 @@
 """Importing this module registers every query."""
 
-from wardstone.catalog import access_queries, question_queries, ranking_queries, text_queries  # noqa: F401
+from wardstone.catalog import (  # noqa: F401
+    access_queries,
+    decision_queries,
+    question_queries,
+    ranking_queries,
+    structure_queries,
+    text_queries,
+)
