@@ -3,6 +3,7 @@
 from wardstone.catalog import (  # noqa: F401
     access_queries,
     decision_queries,
+    operations_queries,
     question_queries,
     ranking_queries,
     structure_queries,
