@@ -13,7 +13,7 @@ from wardstone.operators import answers as OA
 from wardstone.operators import inventory as INV
 from wardstone.operators import targeting as TG
 from wardstone.operators.answerability import answerability, judge_prompt
-from wardstone.plans.answering import docs_for_pools
+from wardstone.plans.answering import docs_for_pools, docs_with_pools
 
 SQL_BASE = f"{C.SQL_DOCS}, {C.SQL_QUESTIONS}"
 
@@ -133,8 +133,8 @@ def _askers(spark, sf):
     return AC.make_pools(q.join(who, "principal_id"))
 
 
-def _pool_docs(spark, sf, q):
-    return docs_for_pools(AC.with_signature(C.docs(spark, sf)).drop("text"), q)
+def _signed_docs(spark, sf):
+    return AC.with_signature(C.docs(spark, sf)).drop("text")
 
 
 @query(
@@ -143,7 +143,7 @@ def _pool_docs(spark, sf, q):
 )
 def inventory_groups(spark, sf):
     q = _askers(spark, sf)
-    rows = INV.inventory(_pool_docs(spark, sf, q), q)
+    rows = INV.inventory(docs_with_pools(_signed_docs(spark, sf), q), q)
     names = F.array_join(F.transform("examples", lambda e: e["doc_name"]), "; ")
     return rows.select(F.col("query_id").cast("bigint").alias("n"), "category", "total_docs", F.col("first_marker").cast("bigint").alias("first_marker"), names.alias("examples"), "position")
 
@@ -156,7 +156,7 @@ def inventory_groups(spark, sf):
 )
 def inventory_answers(spark, sf):
     q = _askers(spark, sf)
-    text = INV.inventory_text(INV.inventory(_pool_docs(spark, sf, q), q), q)
+    text = INV.inventory_text(INV.inventory(docs_with_pools(_signed_docs(spark, sf), q), q), q)
     return text.select(F.col("query_id").cast("bigint").alias("n"), "answer", F.col("citations").cast("bigint").alias("citations"))
 
 
@@ -172,7 +172,7 @@ SQL_CLARIFY = f"""{SQL_ASKERS}, b AS (SELECT n, query, list_filter(list_transfor
 
 def _clarify(spark, sf):
     q = _askers(spark, sf)
-    d = _pool_docs(spark, sf, q).withColumns(
+    d = docs_for_pools(_signed_docs(spark, sf), q).withColumns(
         {
             "sheet_name": F.lit(None).cast("string"),
             "tabular_node_type": F.when(F.col("n") % 4 == 3, "workbook_summary"),

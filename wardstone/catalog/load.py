@@ -6,6 +6,7 @@ from wardstone.catalog import (  # noqa: F401
     operations_queries,
     question_queries,
     ranking_queries,
+    stream_queries,
     structure_queries,
     text_queries,
 )
