@@ -310,7 +310,7 @@ def embedding_inputs(spark, sf):
             "modality": F.lit("image"), "embedding_text": F.lit(None).cast("string"),
         }
     )
-    embedded = IM.embed(clean.withColumn("input", IM.embedding_input()), dim=C.VECTOR_DIM)
+    embedded = IM.embed(clean.withColumn("input", IM.embedding_input(clean.columns)), dim=C.VECTOR_DIM)
     return embedded.select(
         F.concat_ws("-", "doc_id", F.col("page").cast("string")).alias("id"), F.md5("input").alias("digest"), F.round(F.col("embedding")[63].cast("double"), 6).alias("last")
     )
