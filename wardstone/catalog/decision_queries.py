@@ -13,7 +13,7 @@ from wardstone.operators import answers as OA
 from wardstone.operators import inventory as INV
 from wardstone.operators import targeting as TG
 from wardstone.operators.answerability import answerability, judge_prompt
-from wardstone.plans.answering import docs_for_pools, docs_with_pools
+from wardstone.plans.answering import docs_with_pools
 
 SQL_BASE = f"{C.SQL_DOCS}, {C.SQL_QUESTIONS}"
 
@@ -172,7 +172,7 @@ SQL_CLARIFY = f"""{SQL_ASKERS}, b AS (SELECT n, query, list_filter(list_transfor
 
 def _clarify(spark, sf):
     q = _askers(spark, sf)
-    d = docs_for_pools(_signed_docs(spark, sf), q).withColumns(
+    d = docs_with_pools(_signed_docs(spark, sf), q).withColumns(
         {
             "sheet_name": F.lit(None).cast("string"),
             "tabular_node_type": F.when(F.col("n") % 4 == 3, "workbook_summary"),
