@@ -8,6 +8,8 @@ from wardstone.functions import filters as FL
 from wardstone.functions.identity import normalize_group
 from wardstone.operators.skew import broadcast_if_small, settle
 
+MAX_BROADCAST_PAIRS = 2_000_000
+
 
 def expand_groups(principals: DataFrame, group_map: DataFrame) -> DataFrame:
     """Principals with mapped groups appended, sorted and distinct.
@@ -66,7 +68,8 @@ def visible_nodes(nodes: DataFrame, requests: DataFrame, node_columns: dict | No
     """Nodes with ``pools``: the pools allowed to see them (access and metadata filter), unseen ones dropped.
 
     No (node, pool) rows are made: pools are attached per signature and filtered inside the row. The
-    signature table is bounded by distinct ACLs, so it joins by broadcast when small and by AQE otherwise.
+    signature table is bounded by distinct ACLs; once counted to be small it is broadcast, so nodes are not
+    shuffled by signature and a signature that most nodes share is no hot key. Beyond that AQE decides.
     """
     has_filters = node_columns is not None and "filters" in requests.columns
     cols = ["pool_id", "tokens"] + (["filters"] if has_filters else [])
@@ -82,7 +85,8 @@ def visible_nodes(nodes: DataFrame, requests: DataFrame, node_columns: dict | No
             F.array_sort(F.collect_list("pool_id")).alias("_ids"), F.collect_list(entry).alias("_pools")
         )
     )
-    out = nodes.join(table, "signature")
+    entries = table.agg(F.sum(F.size("_ids"))).first()[0] or 0
+    out = nodes.join(F.broadcast(table) if entries <= MAX_BROADCAST_PAIRS else table, "signature")
     if has_filters:
         seen = F.filter("_pools", lambda p: FL.admits(p["filters"], node_columns))
         out = out.withColumn("pools", F.array_sort(F.transform(seen, lambda p: p["pool_id"])))
