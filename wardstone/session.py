@@ -25,11 +25,10 @@ def local_session(cpus: str = "8", shuffle_partitions: int = 8, memory: str = "2
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a scratch folder only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", named)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
-    return named
+    """The shared folder named by the cluster; a scratch folder only where none is named, as in tests."""
+    sc = spark.sparkContext
+    named, current = spark.conf.get("spark.checkpoint.dir", None), sc.getCheckpointDir()
+    if current is None:
+        named = named or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        sc.setCheckpointDir(named)
+    return named or current

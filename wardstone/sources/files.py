@@ -1,5 +1,7 @@
 """File, page, paragraph and listing sources."""
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ def decode_text(content):
 def scan_files(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """(files with allowed suffixes, skipped files with the reason). Contents are read only when used."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    prefix = F.lit(root.rstrip("/") + "/")
+    prefix = F.lit(re.sub("^[a-zA-Z0-9]+:/+", "/", root.rstrip("/")) + "/")
     full = F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "^[a-zA-Z0-9]+:/+", "/")
     rel = F.substring_index(F.concat(F.lit("\x01"), F.replace(full, prefix, F.lit("\x01"))), "\x01", -1)
     files = raw.withColumn("rel_path", P.normalize_path(rel)).withColumn("suffix", P.file_suffix("rel_path"))
