@@ -2,8 +2,26 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wardstone.llm.decontamination import without_leaks
 from wardstone.llm.mixing import mixed_documents
+from wardstone.llm.ngram_join import deduplicated
 from wardstone.llm.sharding import shard_documents
+from wardstone.llm.toxicity import without_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model learned from the labels calls toxic go."""
+    return without_toxic(docs, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by 75 % of their five-word shingles, the least doc_id stays."""
+    return deduplicated(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, whole or reworded, go."""
+    return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,7 +34,7 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return shard_documents(docs, shards=16, keep=True)
 
 
-STAGES = [("mixing", mixing), ("sharding", sharding)]
+STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
 
 #: SQL can't express the learned toxicity scores and the latent search, so the whole has no SQL form.
 ORACLE_SQL = None

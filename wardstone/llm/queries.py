@@ -2,9 +2,14 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wardstone.llm.chat import repaired_turns
+from wardstone.llm.decontamination import leaks
 from wardstone.llm.mixing import MIX_SQL, mix
+from wardstone.llm.ngram_join import linked_components
 from wardstone.llm.sharding import shard_documents
+from wardstone.llm.toxicity import toxicity
 from wardstone.llm.url_filters import filter_urls
+from wardstone.llm.warc import archived_pages
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -35,3 +40,28 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(table(spark, sf_dir, "pages"))
+
+
+@query
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_turns(table(spark, sf_dir, "conversations"))
