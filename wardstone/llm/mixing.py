@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wardstone.llm.common import WORD, fresh, settled, small_side, word_count
+from wardstone.llm.common import WORD, settled, small_side, word_count
 
 BITS = 10
 
@@ -133,22 +133,20 @@ def mixed_documents(docs: DataFrame, weights: list[int] = (3, 1, 2), share: floa
     A document taken in part gives the text up to its last word taken, and ``n_chars``, where there is such a
     column, counts that text. Texts never move: the plan has a row per source.
     """
-    columns = docs.columns
-    if fresh(docs, "_key", "_size", "_order", "_b1", "_b2") != ["_key", "_size", "_order", "_b1", "_b2"]:
-        raise ValueError("columns named _key, _size, _order, _b1 or _b2 are taken by the operator")
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_own")
     narrow = settled(sized(docs.select("doc_id", "text", "source"), seed).drop("text"))
-    rows = take(sized(docs, seed), mix_plan(narrow, list(weights), share, max_epochs))
+    rows = take(sized(docs.select(own, "doc_id", "text", "source"), seed), mix_plan(narrow, list(weights), share, max_epochs))
     whole = F.array_repeat(F.lit(None).cast("long"), F.floor(F.col("taken") / F.col("_size")).cast("int"))
     rest = F.col("taken") % F.col("_size")
     copies = F.concat(whole, F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<long>")))
+    out = rows.filter("taken > 0").withColumn("_words", F.explode(copies))
     pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))  # words, each with the space before it
     cut = F.array_join(F.slice(pieces, F.lit(1), F.col("_words").cast("int")), "")
-    out = rows.filter("taken > 0").withColumn("_words", F.explode(copies))
     text = F.when(F.col("_words").isNull(), F.col("text")).otherwise(cut)
-    out = out.withColumn("text", text)
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("_words").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*columns)
+    kept = {c: F.col("_own")[c] for c in docs.columns} | {"text": text}
+    if "n_chars" in kept:
+        kept["n_chars"] = F.when(F.col("_words").isNull(), kept["n_chars"]).otherwise(F.length(text).cast("long"))
+    return out.select(*[v.alias(c) for c, v in kept.items()])
 
 
 MIX_SQL = rf"""

@@ -2,11 +2,13 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wardstone.llm.ann import nearest
 from wardstone.llm.chat import repaired_turns
 from wardstone.llm.decontamination import leaks
 from wardstone.llm.mixing import MIX_SQL, mix
 from wardstone.llm.ngram_join import linked_components
 from wardstone.llm.sharding import shard_documents
+from wardstone.llm.suffix_dedup import deduplicated_bytes
 from wardstone.llm.toxicity import toxicity
 from wardstone.llm.url_filters import filter_urls
 from wardstone.llm.warc import archived_pages
@@ -65,3 +67,14 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired_turns(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
+@query
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicated_bytes(table(spark, sf_dir, "documents"))

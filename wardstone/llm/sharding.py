@@ -6,7 +6,8 @@ others stay as they were.
 
 Defined cases: null ids are one key, null texts have size 1 and checksum 0; equal costs go to the lower
 shard; repeated rows with one id share a shard and get slots of their own; an empty table gives an empty
-result; further columns are carried along.
+result; with ``keep`` further columns are carried along, and where they have the name of a result, the result's name
+gets underscores.
 """
 
 from math import ceil
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wardstone.llm.common import settled, small_side
+from wardstone.llm.common import fresh, settled, small_side
 
 
 def _cost(key: Column, shard: int, weight: float) -> Column:
@@ -68,11 +69,6 @@ def shard_documents(
     starts = counts.select("shard", "_range", F.coalesce(before, F.lit(0)).alias("_start"))
     inside = F.row_number().over(Window.partitionBy("shard", "_range").orderBy(unsigned, "_order", "size", "text_crc32"))
     out = rows.withColumn("_at", inside).join(small_side(starts), ["shard", "_range"])
-    return out.select(
-        *[F.col("_own")[c].alias(c) for c in own],
-        *[c for c in ("size", "text_crc32") if c not in own],
-        F.lit("key").alias("law"),
-        "shard",
-        (F.col("_start") + F.col("_at") - 1).cast("long").alias("slot"),
-        "grown_shard",
-    )
+    added = [F.col("size"), F.col("text_crc32"), F.lit("key"), F.col("shard"), (F.col("_start") + F.col("_at") - 1).cast("long"), F.col("grown_shard")]
+    names = fresh(docs.select(*own), "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return out.select(*[F.col("_own")[c].alias(c) for c in own], *[v.alias(n) for n, v in zip(names, added, strict=True)])
