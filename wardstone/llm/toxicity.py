@@ -249,9 +249,10 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 3_000, max_clean:
     if not weights:
         return ToxicityModel()
     schema = ", ".join(f"f{j} double" for j in range(FEATURES)) + ", toxic int"
-    got = rows.mapInArrow(lambda batches: _featured(batches, weights), schema).orderBy(*[f"f{j}" for j in range(FEATURES)], "toxic").toArrow()
-    x = np.column_stack([got.column(f"f{j}").to_numpy() for j in range(FEATURES)])
-    y = got.column("toxic").to_numpy().astype(float)
+    got = rows.mapInArrow(lambda batches: _featured(batches, weights), schema).toArrow()
+    table = np.column_stack([got.column(j).to_numpy().astype(float) for j in range(FEATURES + 1)])
+    table = table[np.lexsort(table.T)]  # sums, and so the model, don't depend on the order of tasks
+    x, y = table[:, :-1], table[:, -1]
     center, scale = x.mean(0), np.where(x.std(0) > 1e-9, x.std(0), 1.0)
     w = _logistic((x - center) / scale, y)
     return ToxicityModel(weights, center.tolist(), scale.tolist(), w[:-1].tolist(), float(w[-1]))
