@@ -144,7 +144,7 @@ def test_recall_against_brute_force(spark):
         assert [r.rank for r in found] == list(range(1, len(found) + 1)) and q not in {r.vec_id for r in found}
         assert [(-r.score, r.vec_id) for r in found] == sorted((-r.score, r.vec_id) for r in found)
         if q in (20120, 20140):
-            assert [(r.vec_id, r.score) for r in found] == [(20260 - q, 11.0)]
+            assert [(r.vec_id, r.score) for r in found] == [(40260 - q, 11.0)]
             continue
         scores = every @ every[np.flatnonzero(ids == q)[0]]
         order = [i for i in np.lexsort((ids, -np.round(scores, 9))) if ids[i] != q][:20]

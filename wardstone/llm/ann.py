@@ -165,7 +165,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def nearest(
-    vectors: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int = 4096, block_rows: int = 1024, degree: int = 32, beam: int = 96, alpha: float = 1.2
+    vectors: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int = 4096, block_rows: int = 1024, degree: int = 24, build_beam: int = 48, beam: int = 64, alpha: float = 1.2
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: of each query row the ``k`` nearest found among all rows but its own id.
 
@@ -177,7 +177,11 @@ def nearest(
     nodes = settled(ids.withColumn("dim", F.size("embedding")))
     shards = nodes.groupBy("dim").agg(F.ceil(F.count("*") / shard_rows).cast("long").alias("shards"))
     placed = nodes.join(shards, "dim").withColumn("shard", F.pmod(F.xxhash64("embedding"), F.col("shards")))
-    graphs = settled(placed.select("dim", "shard", "embedding", "ids").groupBy("dim", "shard").applyInArrow(partial(_built, degree=degree, beam=64, alpha=alpha), GRAPH))
+
+    def build(table: pa.Table) -> pa.Table:
+        return _built(table, degree, build_beam, alpha)
+
+    graphs = settled(placed.select("dim", "shard", "embedding", "ids").groupBy("dim", "shard").applyInArrow(build, GRAPH))
 
     asking = usable(queries).withColumnRenamed("vec_id", "query_id")
     distinct = settled(asking.groupBy("embedding").agg(F.min("query_id").alias("qid")).withColumn("dim", F.size("embedding")))
