@@ -45,3 +45,45 @@ def test_ingest_twice(spark):
     assert {r.doc_id for r in registry(spark, state).collect()} == {"b", "c"}
     states = {r.run_id: r.status for r in run_status(spark.read.parquet(f"{state}/runs")).collect()}
     assert states == {f"r{i}": "completed" for i in (1, 2, 3, 4)}
+
+
+def test_unauthenticated_askers_learn_nothing(spark):
+    asked, people, docs, nodes = _world(spark, SF)
+    out = answer_requests(asked, people.withColumn("authenticated", F.lit(False)), docs, nodes, generate=quoting_model)
+    names = [r.name for r in docs.select("name").collect()]
+    answers = [r.answer for r in out.answers.collect()]
+    assert len(answers) == asked.count() and not [a for a in answers if any(n in a for n in names)]
+    assert out.evidence.isEmpty() and out.citations.isEmpty()
+    decided = out.parts["decisions"]
+    assert decided.count() == out.routed.filter("route = 'rag'").count() and decided.filter("decision.allow").isEmpty()
+
+
+def test_access_changes_and_emptied_documents_reach_the_store(spark):
+    state = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    schema = "doc_id string, text string, acl struct<allowed_groups:array<string>,is_public:boolean>"
+    one = spark.createDataFrame([("a", "Alpha text", (["x"], True)), ("b", "Beta text", ([], True)), ("c", "Gamma", ([], True))], schema)
+    two = spark.createDataFrame([("a", "Alpha text", (["x"], False)), ("b", "", ([], True)), ("c", "Gamma", ([], True))], schema)
+    keep = ["doc_id", "acl"]
+    assert tuple(ingest(spark, one, state, "r1", keep).first())[:3] == (3, 0, 0)
+    assert tuple(ingest(spark, two, state, "r2", keep).first())[:3] == (0, 2, 0)
+    stored = {r.doc_id: r.acl.is_public for r in NodeStore(spark, f"{state}/nodes").read().collect()}
+    assert stored == {"a": False, "c": True}
+    assert {r.doc_id: r.acl.is_public for r in registry(spark, state).collect()} == {"a": False, "b": True, "c": True}
+
+
+def test_hidden_documents_neither_tie_nor_hide(spark):
+    from wardstone.operators.access import make_pools, with_principal_tokens, with_signature
+    from wardstone.plans.answering import pre_target, route_requests
+
+    acl = "struct<allowed_emails:array<string>,allowed_domains:array<string>,allowed_users:array<string>,allowed_groups:array<string>,is_public:boolean>"
+    docs = with_signature(spark.createDataFrame(
+        [("d1", "quarterly letter q1 2024 alpha.pdf", ([], [], [], ["other"], False)), ("d2", "quarterly letter q1 2024 beta.pdf", ([], [], [], [], True))], f"doc_id string, name string, acl {acl}"
+    ))
+    people = spark.createDataFrame([("p", True, "u", None, None, ["mine"])], "principal_id string, authenticated boolean, user_id string, email string, domain string, groups array<string>")
+    asked = spark.createDataFrame([("q", "summarize the quarterly letter of q1 2024", "p")], "query_id string, query string, principal_id string")
+    routed = route_requests(asked).join(with_principal_tokens(people).select("principal_id", "tokens"), "principal_id")
+    assert pre_target(routed, docs).first().filters.doc_ids == ["d2"]
+    both = docs.withColumn("signature", docs.filter("doc_id = 'd2'").select("signature").scalar())
+    filters = pre_target(routed, both).first().filters
+    assert filters is None or not filters.doc_ids
+    assert make_pools(routed).count() == 1

@@ -255,12 +255,15 @@ def filter_merge(spark, sf):
     )
 
 
-@query(
-    "request_routing",
-    f"""WITH {SQL_BASE}, b AS (SELECT q.n, q.c, q.t, {sql_blocked('q.c')} AS blocked, {sql_intent('q.c')} AS own, {sql_intent(f"coalesce(lower({collapse('previous')}), '')")} AS before,
+SQL_ROUTES = f"""{SQL_BASE}, b AS (SELECT q.n, q.c, q.t, {sql_blocked('q.c')} AS blocked, {sql_intent('q.c')} AS own, {sql_intent(f"coalesce(lower({collapse('previous')}), '')")} AS before,
       q.c <> '' AND NOT {sql_smalltalk('q.c')} AND {sql_followup('q.c')} AND previous IS NOT NULL AS inherits FROM q JOIN prev USING (n)),
     d AS (SELECT *, CASE WHEN inherits THEN split_part(before, '/', 1) ELSE split_part(own, '/', 1) END AS mode,
-      CASE WHEN inherits THEN 'followup_' || split_part(before, '/', 1) ELSE split_part(own, '/', 2) END AS reason FROM b)
+      CASE WHEN inherits THEN 'followup_' || split_part(before, '/', 1) ELSE split_part(own, '/', 2) END AS reason FROM b)"""
+
+
+@query(
+    "request_routing",
+    f"""WITH {SQL_ROUTES}
     SELECT n, CASE WHEN blocked IS NOT NULL THEN 'blocked' WHEN n % 13 = 0 THEN 'chat' WHEN n % 7 <> 0 AND mode = 'chat' THEN 'chat'
         WHEN {matches('t', V.INVENTORY_PATTERNS)} THEN 'inventory' ELSE 'rag' END AS route,
       CASE WHEN blocked IS NOT NULL THEN 'blocked_' || blocked WHEN n % 13 = 0 THEN 'forced_chat_mode' WHEN n % 7 <> 0 AND mode = 'chat' THEN 'auto_' || reason

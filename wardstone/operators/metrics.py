@@ -23,10 +23,12 @@ def run_counters(docs: DataFrame, skipped: DataFrame, errors: DataFrame, nodes:
     return tagged.agg(*[F.count_if(F.col("k") == n).alias(n) for n in names])
 
 
-def registry_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """added / updated / unchanged / deleted per document by content hash."""
-    o = old.select("doc_id", F.col("content_hash").alias("_old"))
-    n = new.select("doc_id", F.col("content_hash").alias("_new"))
+def registry_diff(old: DataFrame, new: DataFrame, hashes: tuple[str, ...] = ("content_hash",)) -> DataFrame:
+    """added / updated / unchanged / deleted per document by the hashes given; a hash the old rows lack counts as changed."""
+    values = [F.coalesce(F.col(h), F.lit("")) for h in hashes]
+    before = [F.coalesce(F.col(h), F.lit("")) if h in old.columns else F.lit("") for h in hashes]
+    o = old.select("doc_id", F.struct(*[v.alias(h) for v, h in zip(before, hashes)]).alias("_old"))
+    n = new.select("doc_id", F.struct(*[v.alias(h) for v, h in zip(values, hashes)]).alias("_new"))
     change = (
         F.when(F.col("_old").isNull(), "added")
         .when(F.col("_new").isNull(), "deleted")

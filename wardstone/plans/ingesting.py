@@ -26,18 +26,20 @@ def ingest(
 ) -> DataFrame:
     """Chunk, embed and store documents; returns one row of counts and logs the run.
 
-    Only new and changed documents are chunked and written. A dry run computes counts and writes nothing
+    Only new and changed documents are chunked and written; a change of text, access list or any other column
+    counts, so a revoked access list reaches the stored nodes at once. A document that yields no nodes any more
+    loses its old ones. A dry run computes counts and writes nothing
     but its log. ``sync_deletes`` also removes stored documents missing from ``docs``.
     """
     log = f"{state_dir}/runs"
     run_event(spark, run_id, 0, "running", source=None).write.mode("append").parquet(log)
     try:
-        docs = docs.withColumn("content_hash", content_hash("text"))
-        new = docs.select("doc_id", "content_hash")
+        docs = with_hashes(docs)
+        new = docs.select("doc_id", *HASHES)
         version = _version(spark, f"{state_dir}/registry")
         old = None if version is None else spark.read.parquet(version)
-        base = old if old is not None else spark.createDataFrame([], "doc_id string, content_hash string")
-        diff = settle(registry_diff(base, new))
+        base = old if old is not None else spark.createDataFrame([], "doc_id string, content_hash string, facts_hash string")
+        diff = settle(registry_diff(base, new, HASHES))
         counts = {r.change: r["count"] for r in diff.groupBy("change").count().collect()}
         if not sync_deletes:
             counts["deleted"] = 0
@@ -51,7 +53,7 @@ def ingest(
                 more = extra_nodes.join(dirty, "doc_id", "left_semi")
                 nodes = nodes.unionByName(more, allowMissingColumns=True)
             store = NodeStore(spark, f"{state_dir}/nodes")
-            store.replace_documents(embed(nodes, embed_udf, dim))
+            store.replace_documents(embed(nodes, embed_udf, dim), todo)
             if sync_deletes and counts.get("deleted"):
                 store.delete_documents(diff.filter("change = 'deleted'").select("doc_id"))
             stored = store.read()
@@ -75,6 +77,15 @@ def ingest(
     )
 
 
+HASHES = ("content_hash", "facts_hash")
+
+
+def with_hashes(docs: DataFrame) -> DataFrame:
+    """Documents with a hash of their text and one of everything else that is stored of them: access, paths, times."""
+    facts = sorted(c for c in docs.columns if c not in ("doc_id", "text", *HASHES))
+    return docs.withColumns({"content_hash": content_hash("text"), "facts_hash": F.sha2(F.to_json(F.struct(*facts), {"ignoreNullFields": "false"}), 256) if facts else F.lit("")})
+
+
 def _version(spark: SparkSession, root: str) -> str | None:
     log = read_or_none(spark, f"{root}/manifest")
     return None if log is None else f"{root}/v{log.agg(F.max('version')).first()[0]}"

@@ -95,7 +95,7 @@ def split_mime(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return files.filter(ok), files.filter(~ok)
 
 
-def resolve_tree(files: DataFrame, root_id: str, max_depth: int = 64) -> tuple[DataFrame, DataFrame]:
+def resolve_tree(files: DataFrame, root_id: str) -> tuple[DataFrame, DataFrame]:
     """(supported, skipped) files under a folder with their paths, from a flat parent listing.
 
     Folders are walked level by level with an equi-join on the parent; folders already visited are left
@@ -107,7 +107,7 @@ def resolve_tree(files: DataFrame, root_id: str, max_depth: int = 64) -> tuple[D
     )
     frontier = spark.createDataFrame([(root_id, "")], "folder_id string, folder_path string")
     visited = frontier
-    for _ in range(max_depth):
+    while True:  # until a level has no folder that wasn't met before
         step = (
             folders.join(frontier.select(F.col("folder_id").alias("_p"), F.col("folder_path").alias("_fp")), "_p")
             .select("folder_id", F.concat_ws("/", F.nullif("_fp", F.lit("")), F.nullif("_n", F.lit(""))).alias("folder_path"))

@@ -6,6 +6,7 @@ from pyspark.sql.utils import AnalysisException
 
 from wardstone.functions.identity import normalize_group_map
 from wardstone.functions.text import strip_nul
+from wardstone.operators.skew import settle
 
 AUDIT_TABLES = ["policy_decisions", "query_runs", "query_run_evidence", "query_run_citations", "feedback_events"]
 
@@ -57,7 +58,7 @@ class NodeStore:
         target = f"{self.root}/data/version={version}"
         filled: set[int] = set()
         if rows is not None:
-            rows.withColumn("bucket", self._bucket()).repartition("bucket").write.partitionBy("bucket").parquet(target)
+            rows.withColumn("bucket", self._bucket()).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(target)
             written = read_or_none(self.spark, target)
             if written is not None and "bucket" in written.columns:
                 filled = {r.bucket for r in written.select("bucket").distinct().collect()}
@@ -66,9 +67,14 @@ class NodeStore:
             f"{self.root}/manifest"
         )
 
-    def replace_documents(self, rows: DataFrame) -> None:
-        """Delete every stored row of the documents in ``rows``, then add ``rows``: an idempotent upsert."""
-        self._apply(rows.select(self.key).distinct(), rows)
+    def replace_documents(self, rows: DataFrame, documents: DataFrame | None = None) -> None:
+        """Delete every stored row of the documents, then add ``rows``: an idempotent upsert.
+
+        ``documents`` names the documents where some may have no rows any more; without it they are those of ``rows``.
+        The rows are made once and read back, however often the steps below need them.
+        """
+        rows = settle(rows)
+        self._apply((rows if documents is None else documents).select(self.key).distinct(), rows)
 
     def delete_documents(self, keys: DataFrame) -> None:
         self._apply(keys.select(self.key).distinct(), None)
@@ -102,7 +108,7 @@ def upsert_registry(registry: DataFrame, docs: DataFrame, now: Column, seq: str
     """
     clean = strip_nul(docs)
     facts = [c for c in clean.columns if c not in ("doc_id", seq)]
-    order = F.col(seq) if seq else F.lit(0)
+    order = F.col(seq) if seq else F.to_json(F.struct(*facts))  # without an order column: any, but always the same
     latest = clean.groupBy("doc_id").agg(F.max_by(F.struct(*facts), order).alias("_new"))
     old_facts = [c for c in registry.columns if c not in ("doc_id", "created_at", "updated_at")]
     old = registry.select("doc_id", F.struct(*old_facts).alias("_old"), "created_at", "updated_at")

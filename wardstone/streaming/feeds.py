@@ -16,14 +16,15 @@ from wardstone.sources.tables import NodeStore, read_or_none
 def stream_ingest(docs: DataFrame, store: NodeStore, to_nodes) -> DataStreamWriter:
     """Arriving documents chunked by ``to_nodes`` and swapped into the store, one commit per batch.
 
-    The last row per document in a batch wins; a replayed batch rewrites the same rows.
+    The last row per document in a batch wins; a replayed batch rewrites the same rows; a document that yields no
+    nodes any more loses its old ones.
     """
     facts = [c for c in docs.columns if c != "doc_id"]
 
     def write(batch: DataFrame, _batch_id: int) -> None:
-        order = F.col("modified_time") if "modified_time" in facts else F.lit(0)
+        order = F.col("modified_time") if "modified_time" in facts else F.to_json(F.struct(*facts))
         latest = batch.groupBy("doc_id").agg(F.max_by(F.struct(*facts), order).alias("_d")).select("doc_id", "_d.*")
-        store.replace_documents(to_nodes(latest))
+        store.replace_documents(to_nodes(latest), latest)
 
     return docs.writeStream.foreachBatch(write)
 
@@ -90,13 +91,17 @@ FOLLOWUP_STATE = "turn long, text string"
 
 
 def _track(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Previous user turn for each user turn of a conversation; only the last one is kept in state."""
+    """Previous user turn for each user turn of a conversation; only the last one is kept in state.
+
+    A turn that arrives late is given out without a previous one, which is no longer known, and changes no state.
+    """
     last_turn, last_text = state.get if state.exists else (-1, None)
     rows = pd.concat(list(frames)).sort_values("turn")
     out = []
     for turn, text in zip(rows["turn"], rows["text"]):
         if turn <= last_turn:
-            continue  # an older turn that arrives late cannot change what was already answered
+            out.append((key[0], turn, text, None))
+            continue
         out.append((key[0], turn, text, last_text))
         last_turn, last_text = turn, text
     state.update((int(last_turn), last_text))
