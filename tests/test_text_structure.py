@@ -147,10 +147,15 @@ def test_tabular(spark):
 
 def test_tabular_truncation(spark):
     rows = [(1, ["Name", "Value"])] + [(i, [f"n{i}", str(i)]) for i in range(2, 5107)]
-    nodes, warnings = TB.tabular_nodes(spark.createDataFrame(sheet("Big", 1, rows), CELLS))
+    cells = spark.createDataFrame(sheet("Big", 1, rows), CELLS)
+    nodes, warnings = TB.tabular_nodes(cells, TB.SERVICE_CAPS)
     assert [r.warning for r in warnings.collect()] == ["sheet_truncated:Big"]
     blocks = nodes.filter("tabular_node_type = 'row_block'")
     assert blocks.count() == 200 and blocks.filter("NOT truncated").count() == 0
+    nodes, warnings = TB.tabular_nodes(cells)
+    blocks = nodes.filter("tabular_node_type = 'row_block'")
+    assert warnings.count() == 0 and blocks.count() == 205 and blocks.filter("truncated").count() == 0
+    assert blocks.agg(F.max("row_end")).first()[0] == 5106
 
 
 def test_page_links(spark):

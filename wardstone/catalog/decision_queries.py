@@ -67,7 +67,7 @@ def document_targets(spark, sf):
     return hits.select(F.col("query_id").cast("bigint").alias("n"), "doc_id", "selector")
 
 
-SQL_CANDIDATES = "cand AS (SELECT q.n, d.doc_id, d.name, d.n AS dn FROM questions q JOIN docs d ON d.n % 97 = q.n % 97)"
+SQL_CANDIDATES = "cand AS (SELECT q.n, d.doc_id, d.name, d.n AS dn FROM questions q JOIN docs d ON d.n // 6 = q.n % (SELECT max(n) // 6 + 1 FROM docs))"
 
 
 @query(
@@ -202,8 +202,8 @@ def clarification_answers(spark, sf):
 
 # --- answerability --------------------------------------------------------------------------
 
-# each question is given the documents of its own number class as evidence
-SQL_EVIDENCE = f"""ev AS (SELECT q.n, d.doc_id, d.name, d.text, row_number() OVER (PARTITION BY q.n ORDER BY d.n) AS rank FROM questions q JOIN docs d ON d.n % 97 = q.n % 97),
+# documents come in runs of six; each question is given one run as evidence, so the evidence grows with both tables
+SQL_EVIDENCE = f"""ev AS (SELECT q.n, d.doc_id, d.name, d.text, row_number() OVER (PARTITION BY q.n ORDER BY d.n) AS rank FROM questions q JOIN docs d ON d.n // 6 = q.n % (SELECT max(n) // 6 + 1 FROM docs)),
   q2 AS (SELECT *, CASE WHEN n % 9 = 0 THEN 'summarize' ELSE 'qa' END AS mode, {ordered_distinct(f"list_filter({tokens('query')}, lambda t: length(t) >= 3 AND NOT list_contains({arr(V.ANSWERABILITY_STOPWORDS)}, t))")} AS terms0, {tokens('query')} AS toks FROM questions)"""
 SQL_ANSWERABLE = f"""{SQL_BASE}, {SQL_EVIDENCE}, k AS (SELECT n, query, mode, list_distinct(terms0) AS terms, list_has_any(terms0, {arr(V.DISCOVERY_TERMS)}) AS disc,
     list_distinct(flatten(list_transform(list_filter(toks, lambda t: length(t) >= 2), lambda x: CASE WHEN x LIKE '%s' AND length(x) > 3 THEN [x, left(x, length(x) - 1)] ELSE [x] END))) AS marks FROM q2),
@@ -217,10 +217,11 @@ SQL_ANSWERABLE = f"""{SQL_BASE}, {SQL_EVIDENCE}, k AS (SELECT n, query, mode, li
 
 
 def _evidence(spark, sf):
+    runs = C.docs(spark, sf).agg((F.floor(F.max("n") / 6) + 1).alias("runs")).scalar()
     q = _questions(spark, sf).withColumns(
-        {"mode": F.when(F.col("n") % 9 == 0, "summarize").otherwise("qa"), "k": F.col("n") % 97}
+        {"mode": F.when(F.col("n") % 9 == 0, "summarize").otherwise("qa"), "k": F.pmod(F.col("n"), runs)}
     )
-    d = C.docs(spark, sf).select("doc_id", "name", "text", F.col("n").alias("dn"), (F.col("n") % 97).alias("k"))
+    d = C.docs(spark, sf).select("doc_id", "name", "text", F.col("n").alias("dn"), F.floor(F.col("n") / 6).alias("k"))
     w = Window.partitionBy("k").orderBy("dn")
     ev = d.withColumn("rank", F.row_number().over(w)).join(q.select("query_id", "k"), "k").drop("k", "dn")
     return q.drop("k"), ev

@@ -572,11 +572,11 @@ def reader_gaps(spark, sf):
 
 @query(
     "file_scan",
-    """SELECT 'part-' || lang || '.txt' AS name, '.txt' AS suffix, 'lang=' || lang AS folder FROM documents GROUP BY lang""",
+    """SELECT 'part-' || lang || '.txt' AS name, '.txt' AS suffix, 'lang=' || lang AS folder, count(*) AS lines, sum(length(text))::BIGINT AS chars,
+      min(md5(replace(text, chr(10), ' '))) AS lowest, max(md5(replace(text, chr(10), ' '))) AS highest FROM documents GROUP BY lang""",
 )
 def file_scan(spark, sf):
-
-
+    """Files of lines written, scanned, decoded and compared line by line."""
     root = f"{checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
     d = C.table(spark, sf, "documents").select("lang", F.replace("text", F.lit("\n"), F.lit(" ")).alias("value"))
     d.repartition("lang").write.partitionBy("lang").text(root)
@@ -584,8 +584,44 @@ def file_scan(spark, sf):
     assert skipped.filter("path LIKE '%.txt'").isEmpty()
     docs = SF.docs_from_binary(ok)
     lang = F.regexp_extract("folder_path", "lang=(.*)$", 1)
-    return docs.groupBy("folder_path", "mime_type").agg(F.first(F.concat(F.lit("part-"), lang, F.lit(".txt"))).alias("name")).select(
-        "name", F.col("mime_type").alias("suffix"), F.col("folder_path").alias("folder")
-    )
+    lines = docs.select("folder_path", "mime_type", F.explode(F.split(F.regexp_replace("text", r"\n\z", ""), "\n")).alias("line"))
+    return lines.groupBy("folder_path", "mime_type").agg(
+        F.first(F.concat(F.lit("part-"), lang, F.lit(".txt"))).alias("name"), F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"),
+        F.min(F.md5("line")).alias("lowest"), F.max(F.md5("line")).alias("highest"),
+    ).select("name", F.col("mime_type").alias("suffix"), F.col("folder_path").alias("folder"), "lines", "chars", "lowest", "highest")
+
+
+def _one_file(spark, text, name):
+    """A one-row string frame as one file; its path."""
+    root = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    text.coalesce(1).write.text(root)
+    return spark.read.format("binaryFile").load(root).filter("path LIKE '%part-%'").select("path").first().path
+
+
+@query(
+    "acl_sidecar_file",
+    """SELECT 'docs/s' || s_suppkey || '.txt' AS key, 'g' || (s_nationkey % 3) AS grp, s_suppkey % 5 = 0 AS is_public FROM supplier""",
+)
+def acl_sidecar_file(spark, sf):
+    """Access lists of a side file written from the suppliers and read back."""
+    k = F.col("s_suppkey")
+    entry = F.struct(F.array(F.concat(F.lit("G"), (F.col("s_nationkey") % 3).cast("string"))).alias("allowed_groups"), (k % 5 == 0).alias("is_public"))
+    pairs = C.table(spark, sf, "supplier").select(F.struct(F.concat(F.lit("docs/s"), k.cast("string"), F.lit(".txt")).alias("k"), entry.alias("v")).alias("e"))
+    text = pairs.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list("e")).alias("documents"))).alias("value"))
+    got = SF.read_acl_sidecar(spark, _one_file(spark, text, "sidecar"))
+    return got.select("key", F.get("acl.allowed_groups", F.lit(0)).alias("grp"), F.col("acl.is_public").alias("is_public"))
 
 
+@query(
+    "case_file",
+    """SELECT 'c' || item_id AS id, md5(text) AS digest, CASE WHEN item_id % 3 = 0 THEN 'deny' ELSE 'refuse' END AS expect, item_id % 4 AS min_citations FROM benchmark""",
+)
+def case_file(spark, sf):
+    """Evaluation cases of a file written from the benchmark and read back."""
+    i = F.col("item_id")
+    case = F.struct(
+        F.concat(F.lit("c"), i.cast("string")).alias("id"), F.col("text").alias("prompt"), F.when(i % 3 == 0, "deny").otherwise("refuse").alias("expect"), (i % 4).cast("int").alias("min_citations")
+    )
+    text = C.table(spark, sf, "benchmark").agg(F.to_json(F.struct(F.collect_list(case).alias("cases"))).alias("value"))
+    got = SF.read_cases(spark, _one_file(spark, text, "cases"))
+    return got.select("id", F.md5("prompt").alias("digest"), "expect", F.col("min_citations").cast("bigint").alias("min_citations"))

@@ -170,8 +170,9 @@ def image_paths(spark, sf):
 )
 def support_selection(spark, sf):
     ranked = lines(spark, sf)
-    wanted = F.filter(F.sequence(F.lit(1), F.lit(64)), lambda i: i % 2 == F.col("query_id") % 2)
-    kept = R.keep_indices(ranked.withColumn("support", wanted), "support")
+    chosen = ranked.filter(F.col("rank") % 2 == F.col("query_id") % 2)
+    wanted = chosen.groupBy("query_id").agg(F.sort_array(F.collect_list(F.col("rank").cast("int"))).alias("support"))
+    kept = R.keep_indices(ranked.join(wanted, "query_id"), "support")
     return R.number_citations(kept).select("query_id", "node_id", "marker")
 
 

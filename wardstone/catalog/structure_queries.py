@@ -120,12 +120,11 @@ def cells(spark, sf):
     return rows.select(*sheet, "row_idx", F.posexplode("vals").alias("c", "value")).withColumn("col_idx", F.col("c") + 1).drop("c")
 
 
-CAPS = TB.TabularCaps()
-SQL_ROWS = f"""data AS (SELECT 'wb' || o_orderpriority AS doc_id, o_orderpriority || '.xlsx' AS workbook, o_orderstatus AS sheet, o_orderkey + 3 AS row_idx, o_custkey % 3 = 0 AS vip,
+SQL_ROWS = """data AS (SELECT 'wb' || o_orderpriority AS doc_id, o_orderpriority || '.xlsx' AS workbook, o_orderstatus AS sheet, o_orderkey + 3 AS row_idx, o_custkey % 3 = 0 AS vip,
     'Row ' || (o_orderkey + 3) || ': Order=ord' || o_orderkey || ' | Customer Name=c' || o_custkey || ' | Customer Name_2=' || strftime(o_orderdate, '%Y-%m-%d')
       || CASE WHEN o_custkey % 3 = 0 THEN ' | col_D=v i p' ELSE '' END AS line,
     row_number() OVER (PARTITION BY o_orderpriority, o_orderstatus ORDER BY o_orderkey) AS no FROM orders),
-  kept AS (SELECT * FROM data WHERE no <= {CAPS.max_rows - 2})"""
+  kept AS (SELECT * FROM data)"""
 
 
 @query(
@@ -142,7 +141,7 @@ def sheet_rows(spark, sf):
 @query(
     "sheet_headers",
     f"""WITH {SQL_ROWS} SELECT doc_id, sheet AS sheet_name, 2 AS header_row, 'Order|Customer Name|Customer Name_2' || CASE WHEN bool_or(vip) THEN '|col_D' ELSE '' END AS headers,
-      count(*) AS row_count, CASE WHEN bool_or(vip) THEN 4 ELSE 3 END AS column_count, count(*) + 2 >= {CAPS.max_rows} AS truncated FROM kept GROUP BY doc_id, sheet""",
+      count(*) AS row_count, CASE WHEN bool_or(vip) THEN 4 ELSE 3 END AS column_count, false AS truncated FROM kept GROUP BY doc_id, sheet""",
 )
 def sheet_headers(spark, sf):
     c = cells(spark, sf)
@@ -156,7 +155,7 @@ def sheet_headers(spark, sf):
 @query(
     "row_blocks",
     f"""WITH {SQL_ROWS}, b AS (SELECT doc_id, workbook, sheet, (no - 1) // 25 AS block, min(row_idx) AS row_start, max(row_idx) AS row_end, bool_or(vip) AS v,
-      string_agg(line, chr(10) ORDER BY row_idx) AS lines, string_agg(line, chr(10) ORDER BY row_idx) FILTER ((no - 1) % 25 < 3) AS preview FROM kept WHERE no <= 5000 GROUP BY ALL)
+      string_agg(line, chr(10) ORDER BY row_idx) AS lines, string_agg(line, chr(10) ORDER BY row_idx) FILTER ((no - 1) % 25 < 3) AS preview FROM kept GROUP BY ALL)
     SELECT doc_id, sheet AS sheet_name, row_start, row_end, 'A' || row_start || ':' || CASE WHEN v THEN 'D' ELSE 'C' END || row_end AS cell_range,
       md5('Workbook: ' || workbook || chr(10) || 'Sheet: ' || sheet || chr(10) || 'Rows: ' || row_start || '-' || row_end || chr(10) || 'Headers: Order, Customer Name, Customer Name_2' || CASE WHEN v THEN ', col_D' ELSE '' END || chr(10) || lines) AS digest,
       md5(preview) AS preview FROM b""",

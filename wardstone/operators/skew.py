@@ -63,6 +63,19 @@ def topk_per_key(
     return out if k_col is None else out.filter(F.col(rank_col) <= F.col(k_col))
 
 
+def number_rows(df: DataFrame, keys: list[str], pos: str, out: str, block: int = 4096) -> DataFrame:
+    """Position of each row in its key, from 1, in the order of the number ``pos``.
+
+    Rows are numbered inside blocks of ``pos``, and only the counts of blocks are added up along a key, so a key
+    that holds a third of all rows is no single task.
+    """
+    b = df.withColumn("_b", F.floor(F.col(pos) / block))
+    before = F.sum("count").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    starts = b.groupBy(*keys, "_b").count().select(*keys, "_b", F.coalesce(before, F.lit(0)).alias("_s"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(pos))
+    return b.withColumn("_n", inside).join(starts, [*keys, "_b"]).withColumn(out, F.col("_s") + F.col("_n")).drop("_b", "_s", "_n")
+
+
 def last_before(
     df: DataFrame, keys: list[str], pos: str, value: Column, out: str, block: int = 1024
 ) -> DataFrame:

@@ -1,8 +1,8 @@
 """Spreadsheet cells in long form to summary and row-block nodes.
 
 ``cells``: doc_id, workbook, sheet_name, sheet_index, sheet_hidden, row_idx, col_idx (from 1), value.
-Rows are built from at most 20 cells and sheets are cut to their row cap before any per-sheet list is
-made, so every collected group has a fixed bound.
+Nothing is cut unless the caller asks for it. The only lists are the cells of a row, the rows of a block and the
+columns of a sheet.
 """
 
 from dataclasses import dataclass
@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from wardstone import vocab as V
 from wardstone.functions.ids import column_letter
 from wardstone.functions.text import collapse_ws, col
-from wardstone.operators.skew import let, topk_per_key
+from wardstone.operators.skew import let, number_rows, topk_per_key
 
 SHEET = ["doc_id", "sheet_index"]
 SHEET_FACTS = ["workbook", "sheet_name", "sheet_hidden"]
@@ -22,21 +22,30 @@ SHEET_FACTS = ["workbook", "sheet_name", "sheet_hidden"]
 
 @dataclass(frozen=True)
 class TabularCaps:
+    """Sizes; a cap that is None is off. ``SERVICE_CAPS`` holds the service's own caps for callers who want them."""
+
     rows_per_block: int = V.TABULAR_ROWS_PER_BLOCK
-    max_columns: int = V.TABULAR_MAX_COLUMNS
-    max_cell_chars: int = V.TABULAR_MAX_CELL_CHARS
-    max_blocks: int = V.TABULAR_MAX_BLOCKS
-    max_sheets: int = V.TABULAR_MAX_SHEETS
+    max_columns: int | None = None
+    max_cell_chars: int | None = None
+    max_blocks: int | None = None
+    max_sheets: int | None = None
     header_scan: int = V.TABULAR_HEADER_SCAN_ROWS
 
     @property
-    def max_rows(self) -> int:
-        return self.rows_per_block * self.max_blocks + self.header_scan
+    def max_rows(self) -> int | None:
+        return None if self.max_blocks is None else self.rows_per_block * self.max_blocks + self.header_scan
+
+
+SERVICE_CAPS = TabularCaps(
+    max_columns=V.TABULAR_MAX_COLUMNS, max_cell_chars=V.TABULAR_MAX_CELL_CHARS, max_blocks=V.TABULAR_MAX_BLOCKS, max_sheets=V.TABULAR_MAX_SHEETS
+)
 
 
-def clean_cell(value, max_chars: int = V.TABULAR_MAX_CELL_CHARS) -> Column:
-    """Collapsed cell text; longer text ends in an ellipsis within the limit."""
+def clean_cell(value, max_chars: int | None = V.TABULAR_MAX_CELL_CHARS) -> Column:
+    """Collapsed cell text; longer text ends in an ellipsis within the limit, if there is one."""
     flat = collapse_ws(value)
+    if max_chars is None:
+        return flat
     return F.when(
         F.length(flat) > max_chars, F.concat(F.rtrim(F.left(flat, F.lit(max_chars - 1))), F.lit("…"))
     ).otherwise(flat)
@@ -53,16 +62,15 @@ def cell_text(value, kind: str | None = None) -> Column:
 
 
 def sheet_rows(cells: DataFrame, caps: TabularCaps = TabularCaps()) -> DataFrame:
-    """Non-blank rows per sheet as sorted (col, value) lists, cut to the row cap and numbered."""
-    kept = (
-        cells.filter(F.col("col_idx") <= caps.max_columns)
-        .withColumn("value", clean_cell("value", caps.max_cell_chars))
-        .filter(F.col("value") != "")
-    )
+    """Non-blank rows per sheet as sorted (col, value) lists, numbered, and cut to the row cap if there is one."""
+    within = cells if caps.max_columns is None else cells.filter(F.col("col_idx") <= caps.max_columns)
+    kept = within.withColumn("value", clean_cell("value", caps.max_cell_chars)).filter(F.col("value") != "")
     rows = kept.groupBy(*SHEET, "row_idx").agg(
         *[F.first(c).alias(c) for c in SHEET_FACTS],
         F.array_sort(F.collect_list(F.struct(F.col("col_idx").alias("c"), F.col("value").alias("v")))).alias("vals"),
     )
+    if caps.max_rows is None:
+        return number_rows(rows, SHEET, "row_idx", "row_no")
     return topk_per_key(rows, SHEET, [F.col("row_idx").asc()], caps.max_rows, rank_col="row_no")
 
 
@@ -71,10 +79,11 @@ def sheet_limits(rows: DataFrame, cells: DataFrame, caps: TabularCaps = TabularC
     sheets = rows.groupBy(*SHEET).agg(F.first("sheet_name").alias("sheet_name"), F.count("*").alias("_n"))
     seq = Window.partitionBy("doc_id").orderBy("sheet_index")
     numbered = sheets.withColumn("_no", F.row_number().over(seq))
-    kept = numbered.filter(F.col("_no") <= caps.max_sheets).select(
-        *SHEET, "sheet_name", (F.col("_n") >= caps.max_rows).alias("truncated")
-    )
-    full = numbered.filter(F.col("_no") == caps.max_sheets).select("doc_id", F.col("sheet_index").alias("_last"))
+    full_rows = F.lit(False) if caps.max_rows is None else F.col("_n") >= caps.max_rows
+    within = F.lit(True) if caps.max_sheets is None else F.col("_no") <= caps.max_sheets
+    kept = numbered.filter(within).select(*SHEET, "sheet_name", full_rows.alias("truncated"))
+    last = F.lit(False) if caps.max_sheets is None else F.col("_no") == caps.max_sheets
+    full = numbered.filter(last).select("doc_id", F.col("sheet_index").alias("_last"))
     beyond = (
         cells.select("doc_id", "sheet_index", "sheet_name")
         .distinct()
@@ -162,10 +171,8 @@ def sheet_table(cells: DataFrame, caps: TabularCaps = TabularCaps()) -> tuple[Da
         .withColumn("column_count", F.size("columns"))
         .drop("header_vals")
     )
-    seq = Window.partitionBy(*SHEET).orderBy("row_idx")
     numbered = (
-        data.select(*SHEET, "row_idx", "vals")
-        .withColumn("data_no", F.row_number().over(seq))
+        number_rows(data.select(*SHEET, "row_idx", "vals"), SHEET, "row_idx", "data_no")
         .join(sheets.select(*SHEET, "columns", "column_headers"), SHEET)
     )
     return sheets, numbered, warnings
@@ -208,10 +215,8 @@ def _truncation(caps: TabularCaps) -> Column:
 
 def row_blocks(sheets: DataFrame, data: DataFrame, caps: TabularCaps = TabularCaps()) -> DataFrame:
     """Blocks of 25 data rows with the headers that are filled inside the block."""
-    limit = caps.rows_per_block * caps.max_blocks
-    placed = _lines(data).filter(F.col("data_no") <= limit).withColumn(
-        "block", F.floor((F.col("data_no") - 1) / caps.rows_per_block)
-    )
+    rows = data if caps.max_blocks is None else data.filter(F.col("data_no") <= caps.rows_per_block * caps.max_blocks)
+    placed = _lines(rows).withColumn("block", F.floor((F.col("data_no") - 1) / caps.rows_per_block))
     blocks = placed.groupBy(*SHEET, "block").agg(
         F.min("row_idx").alias("row_start"),
         F.max("row_idx").alias("row_end"),

@@ -1,5 +1,6 @@
 """Session settings the library expects; a cluster's own settings are left alone."""
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -29,6 +30,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named, current = spark.conf.get("spark.checkpoint.dir", None), sc.getCheckpointDir()
     if current is None:
-        named = named or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        if named is None:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("on a cluster, name a folder that all executors share in spark.checkpoint.dir")
+            named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(named)
     return named or current
