@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wardstone import vocab as V
 from wardstone.catalog import corpus as C
 from wardstone.catalog.access_queries import sql_allowed
 from wardstone.catalog.base import query, tokens
@@ -182,7 +183,7 @@ def support_selection(spark, sf):
 )
 def recent_documents(spark, sf):
     reg = C.docs(spark, sf).withColumn("updated_at", F.col("modified_time"))
-    return R.recent_documents(reg, 900, ["local_folder"]).select("doc_id")
+    return R.recent_documents(reg, 900, ["local_folder"], V.PREVIEW_LIMIT_MAX).select("doc_id")
 
 
 # --- vectors --------------------------------------------------------------------------------

@@ -61,10 +61,10 @@ def text_normalize(spark, sf):
 @query(
     "whitespace_collapse",
     f"""WITH f AS (SELECT doc_id, {collapse('text')} AS flat FROM documents)
-    SELECT doc_id, md5(CASE WHEN length(flat) > 700 THEN rtrim(left(flat, 700)) ELSE flat END) AS digest FROM f""",
+    SELECT doc_id, md5(CASE WHEN length(flat) > 700 THEN rtrim(left(flat, 700)) ELSE flat END) AS digest, md5(flat) AS whole FROM f""",
 )
 def whitespace_collapse(spark, sf):
-    return C.table(spark, sf, "documents").select("doc_id", F.md5(T.collapse_ws("text", 700)).alias("digest"))
+    return C.table(spark, sf, "documents").select("doc_id", F.md5(T.collapse_ws("text", 700)).alias("digest"), F.md5(T.collapse_ws("text")).alias("whole"))
 
 
 @query(
@@ -437,16 +437,18 @@ def safe_doc_ids(spark, sf):
     "clean_cells",
     f"""WITH f AS (SELECT doc_id, {collapse('text')} AS flat FROM documents)
     SELECT doc_id, CASE WHEN length(flat) > 200 THEN rtrim(left(flat, 199)) || '…' ELSE flat END AS cell FROM f
+    UNION ALL SELECT doc_id + 2000000000, md5(flat) FROM f
     UNION ALL SELECT o_orderkey + 1000000000, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') FROM orders""",
 )
 def clean_cells(spark, sf):
     from wardstone.operators.tabular import cell_text, clean_cell
 
     docs = C.table(spark, sf, "documents").select("doc_id", clean_cell("text").alias("cell"))
+    whole = C.table(spark, sf, "documents").select((F.col("doc_id") + 2000000000).alias("doc_id"), F.md5(clean_cell("text", None)).alias("cell"))
     dates = C.table(spark, sf, "orders").select(
         (F.col("o_orderkey") + 1000000000).alias("doc_id"), clean_cell(cell_text("o_orderdate", "timestamp")).alias("cell")
     )
-    return docs.unionByName(dates)
+    return docs.unionByName(whole).unionByName(dates)
 
 
 @query(

@@ -183,8 +183,8 @@ def number_citations(ranked: DataFrame) -> DataFrame:
     return ranked.withColumn("marker", F.row_number().over(w))
 
 
-def recent_documents(registry: DataFrame, limit: int, sources: list[str] | None = None) -> DataFrame:
-    """Most recently updated registry rows, source filter first, at most 500."""
+def recent_documents(registry: DataFrame, limit: int, sources: list[str] | None = None, most: int | None = None) -> DataFrame:
+    """Most recently updated registry rows, source filter first; ``most`` bounds what a caller may ask for."""
     rows = registry.filter(F.col("source").isin(sources)) if sources else registry
-    n = max(1, min(int(limit), V.PREVIEW_LIMIT_MAX))
+    n = max(1, int(limit) if most is None else min(int(limit), most))
     return rows.orderBy(F.col("updated_at").desc(), F.col("doc_id").asc()).limit(n)
