@@ -9,7 +9,8 @@ Sorting every position of a corpus would move many times its size, so the sort i
 a ``length``-byte string, the least (by a hash, leftmost) is its anchor. Equal strings have equal anchors at equal
 places, so a string can only repeat if its anchor's rank does, and about one position in eighteen is an anchor.
 
-1. Anchors are dealt out and sorted by rank; ranks seen in one document only are dropped.
+1. Anchors are dealt out and sorted by rank; ranks seen in one document only are dropped. Enough bits of a rank are
+   sent that about one anchor in a hundred stays by chance; that costs a comparison later, no result.
 2. For each anchor left, the stretch of bytes whose strings it stands for (65 bytes on average) is taken from the
    text. Equal stretches of a task travel as one row with a list of places, so a passage shared by a third of all
    documents is a row per task, not per document.
@@ -18,11 +19,13 @@ places, so a string can only repeat if its anchor's rank does, and about one pos
 4. The removed ranges go back to their documents.
 
 Defined cases: null and empty texts have no bytes; texts under ``length`` bytes lose nothing; documents with null ids
-neither lose bytes nor take any from others; rows with one id don't take from each other; long texts are ranked in
+neither lose bytes nor take any from others; rows with one id don't take from each other, and are told apart by a
+31-bit hash of their texts; long texts are ranked in
 overlapping pieces; an empty table gives an empty result; further columns are not looked at.
 """
 
 import hashlib
+import zlib
 from functools import partial
 
 import numpy as np
@@ -33,13 +36,14 @@ from pyspark.sql import functions as F
 from wardstone.llm.hashing import mixed
 
 REACH = 16
+NO_ID = -(1 << 63)
 PIECE = 1 << 19
 _LOW = np.uint64((1 << 24) - 1)
 
-ANCHORS = "key long, rank long, doc_id long, place long, known boolean"
+ANCHORS = "key long, doc_id long, place long, known boolean"
 MARKS = "doc_id long, place long"
-STRETCHES = "stretch binary, lead int, doc_ids array<long>, texts array<long>, starts array<long>"
-RANGES = "doc_id long, text_key long, start long, stop long"
+STRETCHES = "stretch binary, lead int, doc_ids array<long>, places array<long>"
+RANGES = "doc_id long, start long, stop long"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -82,9 +86,9 @@ def _texts(batch) -> list[bytes]:
     return [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
 
 
-def _anchored(batches, length: int):
+def _anchored(batches, length: int, bits: int):
     """Anchors of a batch. A rank found in two of its documents is known to repeat: one row goes to its rank, and the
-    others are dealt out at random, since nothing has to be decided about them."""
+    others are dealt out by document, since nothing has to be decided about them."""
     for batch in batches:
         ids, ranks, places = [], [], []
         for doc, text in zip(batch.column("doc_id").to_pylist(), _texts(batch), strict=True):
@@ -93,24 +97,22 @@ def _anchored(batches, length: int):
             for offset, piece in _pieces(text, length):
                 a, first, last, rank = anchors(np.frombuffer(piece, np.uint8), length)
                 ids.append(np.full(len(a), doc, np.int64))
-                ranks.append(rank.view(np.int64))
+                ranks.append((rank >> np.uint64(64 - bits)).view(np.int64))
                 places.append(_packed(a, first, last, offset))
         if not ids:
             continue
         ids, ranks, places = map(np.concatenate, (ids, ranks, places))
         order = np.argsort(ranks, kind="stable")
-        ids, ranks, places = ids[order], ranks[order], places[order]
-        starts = np.flatnonzero(np.append(True, ranks[1:] != ranks[:-1]))
-        low, high = np.minimum.reduceat(ids, starts), np.maximum.reduceat(ids, starts)
-        sizes = np.diff(np.append(starts, len(ranks)))
-        known = np.repeat(low != high, sizes)
-        head = np.zeros(len(ranks), bool)
-        head[starts] = True
-        loose = known & ~head
-        spread = mixed(ids.view(np.uint64) * np.uint64(31) + places.view(np.uint64)).view(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.where(loose, spread, ranks)), pa.array(ranks), pa.array(ids), pa.array(places), pa.array(np.where(loose, True, known))], ["key", "rank", "doc_id", "place", "known"]
-        )
+        sorted_ids, sorted_ranks = ids[order], ranks[order]
+        starts = np.flatnonzero(np.append(True, sorted_ranks[1:] != sorted_ranks[:-1]))
+        several = np.minimum.reduceat(sorted_ids, starts) != np.maximum.reduceat(sorted_ids, starts)
+        known, loose = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
+        known[order] = np.repeat(several, np.diff(np.append(starts, len(ids))))
+        loose[order] = True
+        loose[order[starts]] = False
+        loose &= known
+        spread = (mixed(ids.view(np.uint64)) >> np.uint64(64 - bits)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.where(loose, spread, ranks)), pa.array(ids), pa.array(places), pa.array(known)], ["key", "doc_id", "place", "known"])
 
 
 def _groups(batches, name: str):
@@ -141,70 +143,80 @@ def _repeated(batches):
         yield from out.to_batches()
 
 
-def _text_key(text: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
+def _text_hash(text: bytes) -> int:
+    return zlib.crc32(text) >> 1
 
 
 def _stretched(batches, length: int):
-    """The bytes around each repeated anchor; equal ones of a batch as one row."""
+    """The bytes around each repeated anchor; equal ones of a batch as one row with ids, starts and text hashes."""
     for batch in batches:
         found: dict[tuple, list] = {}
         for doc, text, places in zip(batch.column("doc_id").to_pylist(), _texts(batch), batch.column("places"), strict=True):
-            own = _text_key(text)
+            own = _text_hash(text)
             for p in places.as_py():
                 a, lead = p >> 16, (p >> 8) & 255
                 start = a - lead
                 stretch = text[start : start + (p & 255) + length]
                 if len(stretch) == (p & 255) + length:  # else another row's place, with the same id
-                    found.setdefault((stretch, lead), []).append((doc, own, start))
+                    found.setdefault((stretch, lead), []).append((doc, start << 31 | own))
         keys, rows = list(found), list(found.values())
         yield pa.RecordBatch.from_arrays(
-            [pa.array([s for s, _ in keys], pa.binary()), pa.array([n for _, n in keys], pa.int32()), *[pa.array([[x[j] for x in r] for r in rows], pa.list_(pa.int64())) for j in range(3)]],
-            ["stretch", "lead", "doc_ids", "texts", "starts"],
+            [pa.array([s for s, _ in keys], pa.binary()), pa.array([n for _, n in keys], pa.int32()), *[pa.array([[x[j] for x in r] for r in rows], pa.list_(pa.int64())) for j in range(2)]],
+            ["stretch", "lead", "doc_ids", "places"],
         )
 
 
 def _removed(batches, length: int):
-    """Ranges of bytes that an earlier document's strings cover."""
-    out: list[tuple] = []
-    for rows in _groups(batches, "key"):
-        keys = rows.column("key").to_numpy()
-        stretches, docs, texts, starts = (rows.column(c).to_pylist() for c in ("stretch", "doc_ids", "texts", "starts"))
-        bounds = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])).tolist() + [len(keys)]
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            first: dict[bytes, int] = {}
-            whole = None
-            if all(stretches[r] == stretches[a] for r in range(a + 1, b)):
-                whole = min(min(docs[r]) for r in range(a, b))
-            else:
-                for r in range(a, b):
-                    s, least = stretches[r], min(docs[r])
-                    for i in range(len(s) - length + 1):
-                        w = s[i : i + length]
-                        if first.get(w, least) >= least:
-                            first[w] = least
-            for r in range(a, b):
-                s = stretches[r]
-                strings = len(s) - length + 1
-                earliest = [whole] * strings if whole is not None else [first[s[i : i + length]] for i in range(strings)]
-                for doc, text, start in zip(docs[r], texts[r], starts[r], strict=True):
-                    i = 0
-                    while i < strings:
-                        if earliest[i] < doc:
-                            j = i
-                            while j + 1 < strings and earliest[j + 1] < doc:
-                                j += 1
-                            out.append((doc, text, start + i, start + j + length))
-                            i = j
-                        i += 1
-            if len(out) > 100_000:
-                yield _ranges(out)
-                out = []
-    yield _ranges(out)
+    """Ranges of bytes that an earlier document's strings cover. Rows are sorted by the anchor's 16 bytes."""
+    held: list[tuple] = []
+    key, out = None, []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("stretch", "lead", "doc_ids", "places")), strict=True):
+            own = row[0][row[1] : row[1] + REACH]
+            if own != key:
+                out += _of_group(held, length)
+                held, key = [], own
+            held.append(row)
+        if len(out) > 50_000:
+            yield _ranges(out)
+            out = []
+    yield _ranges(out + _of_group(held, length))
+
+
+def _of_group(rows: list[tuple], length: int) -> list[tuple]:
+    """Removed ranges of the stretches around one anchor."""
+    same = all(r[0] == rows[0][0] for r in rows)
+    first: dict[bytes, int] = {}
+    if same:
+        if len(rows) == 1 and len(rows[0][2]) == 1:
+            return []
+        whole = min((min(r[2]) for r in rows), default=0)
+    else:
+        for s, _, docs, _ in rows:
+            least = min(docs)
+            for i in range(len(s) - length + 1):
+                w = s[i : i + length]
+                if first.get(w, least) >= least:
+                    first[w] = least
+    out = []
+    for s, _, docs, places in rows:
+        strings = len(s) - length + 1
+        earliest = [whole] * strings if same else [first[s[i : i + length]] for i in range(strings)]
+        for doc, place in zip(docs, places, strict=True):
+            start, text, i = place >> 31, place & 0x7FFFFFFF, 0
+            while i < strings:
+                if earliest[i] < doc:
+                    j = i
+                    while j + 1 < strings and earliest[j + 1] < doc:
+                        j += 1
+                    out.append((doc, (start + i) << 31 | text, start + j + length))
+                    i = j
+                i += 1
+    return out
 
 
 def _ranges(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(4)], ["doc_id", "text_key", "start", "stop"])
+    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(3)], ["doc_id", "start", "stop"])
 
 
 def kept_bytes(text: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -228,8 +240,8 @@ def _finished(batches):
         out = []
         for doc, text, ranges in zip(batch.column("doc_id").to_pylist(), _texts(batch), batch.column("ranges"), strict=True):
             ranges = ranges.as_py() or []
-            own = _text_key(text) if ranges else 0
-            kept, removed, spans = kept_bytes(text, [(r["start"], r["stop"]) for r in ranges if r["text_key"] == own])
+            own = _text_hash(text) if ranges else 0
+            kept, removed, spans = kept_bytes(text, [(r["start"] >> 31, r["stop"]) for r in ranges if r["start"] & 0x7FFFFFFF == own])
             out.append((doc, len(text), removed, spans, hashlib.sha256(kept).hexdigest()))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
         yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds)], [x.split()[0] for x in RESULT.split(", ")])
@@ -239,12 +251,15 @@ def deduplicated_bytes(docs: DataFrame, length: int = 50) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row of ``docs`` (``doc_id, text``)."""
     if not 2 * REACH < length < 200:
         raise ValueError("length must lie between 33 and 199 bytes")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ranked = texts.mapInArrow(partial(_anchored, length=length), ANCHORS).drop("rank")
-    repeated = ranked.repartition("key").sortWithinPartitions("key").mapInArrow(_repeated, MARKS)
-    marked = repeated.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    stretches = texts.join(marked, "doc_id").mapInArrow(partial(_stretched, length=length), STRETCHES)
-    keyed = stretches.withColumn("key", F.xxhash64(F.substring(F.col("stretch"), F.col("lead") + 1, F.lit(REACH))))
-    ranges = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_removed, length=length), RANGES)
-    gathered = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "start", "stop")).alias("ranges"))
-    return texts.join(gathered, "doc_id", "left").mapInArrow(_finished, RESULT)
+    # a key that is never null keeps both joins below on one and the same shuffle of the texts
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(62, (total // 18).bit_length() + 7)
+    anchored = texts.select("doc_id", "text").mapInArrow(partial(_anchored, length=length, bits=bits), ANCHORS)
+    repeated = anchored.repartition("key").sortWithinPartitions("key").mapInArrow(_repeated, MARKS)
+    marked = repeated.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("key")).agg(F.collect_list("place").alias("places"))
+    stretches = texts.join(marked, "key").mapInArrow(partial(_stretched, length=length), STRETCHES)
+    anchor = F.substring(F.col("stretch"), F.col("lead") + 1, F.lit(REACH))
+    ranges = stretches.repartition(F.xxhash64(anchor)).sortWithinPartitions(anchor).mapInArrow(partial(_removed, length=length), RANGES)
+    gathered = ranges.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("key")).agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    return texts.join(gathered, "key", "left").mapInArrow(_finished, RESULT)
