@@ -1,5 +1,7 @@
 """Small helpers the training-data operators share."""
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,13 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As ``settled``, for tables as large as the input: a compressed table in the checkpoint folder."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small_side(df: DataFrame, max_bytes: int = 32 * 1024 * 1024) -> DataFrame:
     """A broadcast hint only after measuring rows times width; otherwise the join stays a shuffle that AQE may split."""
     text = [c for c, t in df.dtypes if t in ("string", "binary")]

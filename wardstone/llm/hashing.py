@@ -12,7 +12,7 @@ _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _M = 0x9E3779B97F4A7C15
 _INVERSE = pow(_M, -1, 1 << 64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-PIECE = 2 << 20
+PIECE = 1 << 19
 
 
 def _power_tables(n: int) -> list:
@@ -25,6 +25,14 @@ def _power_tables(n: int) -> list:
     return _powers
 
 
+def slices(batches, most: int = 8 << 20):
+    """Record batches of at most about ``most`` bytes (or one row), so that a task's memory follows no batch size."""
+    for batch in batches:
+        step = max(1, batch.num_rows * most // max(1, batch.nbytes))
+        for i in range(0, max(1, batch.num_rows), step):
+            yield batch.slice(i, step)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over the word."""
     x = x ^ (x >> np.uint64(30))
