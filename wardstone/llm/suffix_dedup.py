@@ -9,6 +9,9 @@ Sorting every position of a corpus would move many times its size, so the sort i
 a ``length``-byte string, the least (by a hash, leftmost) is its anchor. Equal strings have equal anchors at equal
 places, so a string can only repeat if its anchor's rank does, and about one position in eighteen is an anchor.
 
+Equal texts are added up first: of their documents only the one with the least id is ranked. The later ones lose every
+string to it, whatever else there is, so they lose all bytes.
+
 1. Anchors are dealt out and sorted by rank; ranks seen in one document only are dropped. Enough bits of a rank are
    sent that about one anchor in a hundred stays by chance; that costs a comparison later, no result.
 2. For each anchor left, the stretch of bytes whose strings it stands for (65 bytes on average) is taken from the
@@ -25,6 +28,7 @@ overlapping pieces; an empty table gives an empty result; further columns are no
 """
 
 import hashlib
+import struct
 import zlib
 from functools import partial
 
@@ -33,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardstone.llm.common import settled, small_side
 from wardstone.llm.hashing import mixed
 
 REACH = 16
@@ -42,7 +47,7 @@ _LOW = np.uint64((1 << 24) - 1)
 
 ANCHORS = "key long, doc_id long, place long, known boolean"
 MARKS = "doc_id long, place long"
-STRETCHES = "stretch binary, lead int, doc_ids array<long>, places array<long>"
+STRETCHES = "packed binary"
 RANGES = "doc_id long, start long, stop long"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -148,7 +153,10 @@ def _text_hash(text: bytes) -> int:
 
 
 def _stretched(batches, length: int):
-    """The bytes around each repeated anchor; equal ones of a batch as one row with ids, starts and text hashes."""
+    """The bytes around each repeated anchor; equal ones of a batch as one row.
+
+    A row is the anchor's bytes, the number of bytes before it, the size, the other bytes, and pairs of id and place.
+    """
     for batch in batches:
         found: dict[tuple, list] = {}
         for doc, text, places in zip(batch.column("doc_id").to_pylist(), _texts(batch), batch.column("places"), strict=True):
@@ -158,25 +166,28 @@ def _stretched(batches, length: int):
                 start = a - lead
                 stretch = text[start : start + (p & 255) + length]
                 if len(stretch) == (p & 255) + length:  # else another row's place, with the same id
-                    found.setdefault((stretch, lead), []).append((doc, start << 31 | own))
-        keys, rows = list(found), list(found.values())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([s for s, _ in keys], pa.binary()), pa.array([n for _, n in keys], pa.int32()), *[pa.array([[x[j] for x in r] for r in rows], pa.list_(pa.int64())) for j in range(2)]],
-            ["stretch", "lead", "doc_ids", "places"],
-        )
+                    found.setdefault((stretch, lead), []).extend((doc, start << 31 | own))
+        rows = [s[n : n + REACH] + bytes((n, len(s) - REACH)) + s[:n] + s[n + REACH :] + struct.pack(f"<{len(r)}q", *r) for (s, n), r in found.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["packed"])
+
+
+def _unpacked(row: bytes) -> tuple[bytes, tuple, tuple]:
+    """The stretch, the ids and the places of a row."""
+    lead, end = row[REACH], REACH + 2 + row[REACH + 1]
+    rest, pairs = row[REACH + 2 : end], struct.unpack(f"<{(len(row) - end) // 8}q", row[end:])
+    return rest[:lead] + row[:REACH] + rest[lead:], pairs[0::2], pairs[1::2]
 
 
 def _removed(batches, length: int):
-    """Ranges of bytes that an earlier document's strings cover. Rows are sorted by the anchor's 16 bytes."""
+    """Ranges of bytes that an earlier document's strings cover. Rows are sorted, so those of an anchor stand together."""
     held: list[tuple] = []
     key, out = None, []
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("stretch", "lead", "doc_ids", "places")), strict=True):
-            own = row[0][row[1] : row[1] + REACH]
-            if own != key:
+        for row in batch.column("packed").to_pylist():
+            if row[:REACH] != key:
                 out += _of_group(held, length)
-                held, key = [], own
-            held.append(row)
+                held, key = [], row[:REACH]
+            held.append(_unpacked(row))
         if len(out) > 50_000:
             yield _ranges(out)
             out = []
@@ -188,18 +199,16 @@ def _of_group(rows: list[tuple], length: int) -> list[tuple]:
     same = all(r[0] == rows[0][0] for r in rows)
     first: dict[bytes, int] = {}
     if same:
-        if len(rows) == 1 and len(rows[0][2]) == 1:
-            return []
-        whole = min((min(r[2]) for r in rows), default=0)
+        whole = min((min(r[1]) for r in rows), default=0)
     else:
-        for s, _, docs, _ in rows:
+        for s, docs, _ in rows:
             least = min(docs)
             for i in range(len(s) - length + 1):
                 w = s[i : i + length]
                 if first.get(w, least) >= least:
                     first[w] = least
     out = []
-    for s, _, docs, places in rows:
+    for s, docs, places in rows:
         strings = len(s) - length + 1
         earliest = [whole] * strings if same else [first[s[i : i + length]] for i in range(strings)]
         for doc, place in zip(docs, places, strict=True):
@@ -235,10 +244,13 @@ def kept_bytes(text: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int,
     return b"".join(left), removed, spans
 
 
-def _finished(batches):
+def _finished(batches, length: int):
     for batch in batches:
         out = []
-        for doc, text, ranges in zip(batch.column("doc_id").to_pylist(), _texts(batch), batch.column("ranges"), strict=True):
+        for doc, text, ranges, copy in zip(batch.column("doc_id").to_pylist(), _texts(batch), batch.column("ranges"), batch.column("copy").to_pylist(), strict=True):
+            if copy and len(text) >= length:
+                out.append((doc, len(text), len(text), 1, hashlib.sha256().hexdigest()))
+                continue
             ranges = ranges.as_py() or []
             own = _text_hash(text) if ranges else 0
             kept, removed, spans = kept_bytes(text, [(r["start"] >> 31, r["stop"]) for r in ranges if r["start"] & 0x7FFFFFFF == own])
@@ -255,11 +267,21 @@ def deduplicated_bytes(docs: DataFrame, length: int = 50) -> DataFrame:
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(62, (total // 18).bit_length() + 7)
-    anchored = texts.select("doc_id", "text").mapInArrow(partial(_anchored, length=length, bits=bits), ANCHORS)
+    same = {"_hash": F.xxhash64("text"), "_crc": F.crc32("text"), "_size": F.octet_length("text")}
+    firsts = docs.filter("doc_id is not null and text is not null").groupBy(*[v.alias(k) for k, v in same.items()])
+    firsts = settled(firsts.agg(F.min(F.col("doc_id").cast("long")).alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n"))
+
+    def marked_copies(rows: DataFrame) -> DataFrame:
+        """Rows with ``copy``: an earlier document has the same text."""
+        copy = F.coalesce(F.col("doc_id") > F.col("_first"), F.lit(False))
+        return rows.withColumns(same).join(small_side(firsts), list(same), "left").withColumn("copy", copy).drop("_first", *same)
+
+    ranked = marked_copies(texts.select("doc_id", "text")).filter("not copy").select("doc_id", "text")
+    anchored = ranked.mapInArrow(partial(_anchored, length=length, bits=bits), ANCHORS)
     repeated = anchored.repartition("key").sortWithinPartitions("key").mapInArrow(_repeated, MARKS)
     marked = repeated.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("key")).agg(F.collect_list("place").alias("places"))
     stretches = texts.join(marked, "key").mapInArrow(partial(_stretched, length=length), STRETCHES)
-    anchor = F.substring(F.col("stretch"), F.col("lead") + 1, F.lit(REACH))
-    ranges = stretches.repartition(F.xxhash64(anchor)).sortWithinPartitions(anchor).mapInArrow(partial(_removed, length=length), RANGES)
+    anchor = F.xxhash64(F.substring("packed", 1, REACH))
+    ranges = stretches.repartition(anchor).sortWithinPartitions("packed").mapInArrow(partial(_removed, length=length), RANGES)
     gathered = ranges.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("key")).agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
-    return texts.join(gathered, "key", "left").mapInArrow(_finished, RESULT)
+    return marked_copies(texts.join(gathered, "key", "left")).select("doc_id", "text", "ranges", "copy").mapInArrow(partial(_finished, length=length), RESULT)
