@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardstone.llm.common import settled
-from wardstone.llm.hashing import hashed_words
+from wardstone.llm.hashing import hashed_words, slices
 
 WIDTH, STRIDE = 16, 8
 RESULT = "doc_id long, item_id long, cosine double, lcs double, answer boolean"
@@ -50,7 +50,7 @@ def _places(vocabulary: np.ndarray, words: np.ndarray) -> np.ndarray:
 def _count_documents(batches, vocabulary: np.ndarray):
     """Documents that hold each word of the vocabulary; a row per word and task. Row -1 counts all documents."""
     total, n = np.zeros(len(vocabulary), np.int64), 0
-    for batch in batches:
+    for batch in slices(batches):
         words, bounds = hashed_words(_texts(batch))
         at = _places(vocabulary, words)
         owner = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
@@ -62,8 +62,8 @@ def _count_documents(batches, vocabulary: np.ndarray):
 
 
 def _dense(places: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """TF-IDF row (root of tf, so that squares add up over occurrences) of a passage of benchmark words."""
-    row = np.sqrt(np.bincount(places[places >= 0], minlength=len(idf))) * idf
+    """TF-IDF row of a passage of benchmark words."""
+    row = np.bincount(places[places >= 0], minlength=len(idf)) * idf
     norm = math.sqrt(float(row @ row))
     return row / norm if norm else row
 
@@ -132,6 +132,9 @@ class _Block:
         norms = np.linalg.norm(latent, axis=1, keepdims=True)
         self.latent = latent / np.where(norms > 0, norms, 1)
         self.owners = np.array(self.owners, np.int64)
+        self.firsts = np.flatnonzero(np.append(True, self.owners[1:] != self.owners[:-1])) if len(self.owners) else self.owners
+        self.counts = [dict(zip(*(x.tolist() for x in np.unique(w, return_counts=True)), strict=True)) for w in self.words]
+        self.rows = np.vstack([basis * idf[:, None].astype(np.float32), np.zeros((1, basis.shape[1]), np.float32)])  # last: no word
 
     def search(self, words: np.ndarray, bounds: np.ndarray):
         """(text, start of passage, item, cosine) of passages whose cosine with an item reaches the threshold."""
@@ -148,21 +151,17 @@ class _Block:
         start = np.concatenate(per_text) + bounds[text]
         end = np.minimum(start + WIDTH, bounds[text + 1])
         mass_in, mass = inside[end] - inside[start], every[end] - every[start]
-        for k in np.flatnonzero((mass_in > 0) & (mass_in >= least * least * mass)):
-            known = at[start[k] : end[k]]
-            terms, tf = np.unique(known[known >= 0], return_counts=True)
-            values = (np.sqrt(tf) * self.idf[terms]).astype(np.float32)
-            latent = values @ self.basis[terms]
-            norm = float(np.linalg.norm(latent))
-            if not norm:
-                continue
-            cosines = self.latent @ latent * (math.sqrt(mass_in[k] / mass[k]) / norm)
-            close = np.flatnonzero(cosines >= least)
-            best: dict[int, float] = {}
-            for c in close:
-                best[int(self.owners[c])] = max(best.get(int(self.owners[c]), 0.0), float(cosines[c]))
-            for item, cosine in best.items():
-                yield int(text[k]), int(start[k] - bounds[text[k]]), item, cosine
+        passing = np.flatnonzero((mass_in > 0) & (mass_in >= least * least * mass))
+        for part in np.array_split(passing, max(1, len(passing) // 512)):
+            places = start[part][:, None] + np.arange(WIDTH)
+            known = np.where(places < end[part][:, None], at[np.minimum(places, len(at) - 1)], -1)
+            latent = self.rows[known].sum(1)
+            norms = np.linalg.norm(latent, axis=1)
+            share = np.sqrt(mass_in[part] / mass[part]) / np.where(norms > 0, norms, np.inf)
+            cosines = np.maximum.reduceat(latent @ self.latent.T, self.firsts, axis=1) * share[:, None]
+            for w, i in zip(*np.nonzero(cosines >= least), strict=True):
+                k = part[w]
+                yield int(text[k]), int(start[k] - bounds[text[k]]), int(self.owners[self.firsts[i]]), float(cosines[w, i])
 
     def verified(self, words: np.ndarray, start: int, item: int) -> tuple[float, bool]:
         """Best share of the item's words in order within a span of its length, and whether its answer is there."""
@@ -171,8 +170,12 @@ class _Block:
         low, high = max(0, start - n), min(len(words), start + WIDTH + n)
         span, step = n + max(2, n // 4), max(1, n // 8)
         area = words[low:high].tolist()
-        common = set(wanted)
-        if sum(w in common for w in area) < self.settings["lcs"] * n:
+        least, left, shared = self.settings["lcs"] * n, dict(self.counts[item]), 0
+        for w in area:
+            if left.get(w, 0):
+                left[w] -= 1
+                shared += 1
+        if shared < least or lcs_length(wanted, area) < least:  # bounds on what a span can reach
             return 0.0, False
         best, where = 0, 0
         for s in range(0, max(1, len(area) - span + step), step):
@@ -185,7 +188,7 @@ class _Block:
 
 def _matched(batches, block: dict):
     held = _Block(**block)
-    for batch in batches:
+    for batch in slices(batches):
         words, bounds = hashed_words(_texts(batch))
         best: dict[tuple[int, int], tuple] = {}
         for text, start, item, cosine in held.search(words, bounds):
@@ -195,9 +198,9 @@ def _matched(batches, block: dict):
                 best[text, item] = (max(cosine, known[0] if known else 0.0), lcs, answer)
         sure, likely = held.settings["sure"], held.settings["lcs"]
         kept = [(t, i, *v) for (t, i), v in sorted(best.items()) if v[1] >= sure or v[1] >= likely and v[2]]
-        ids = batch.column("doc_id").to_pylist()
+        ids, rows = batch.column("doc_id").to_pylist(), batch.column("_row").to_pylist() if "_row" in batch.schema.names else range(batch.num_rows)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([ids[t] for t, *_ in kept], pa.int64()), pa.array([held.ids[i] for _, i, *_ in kept], pa.int64()), *[pa.array([r[j] for r in kept], kind) for j, kind in ((2, pa.float64()), (3, pa.float64()), (4, pa.bool_()))], pa.array([t for t, *_ in kept], pa.int64())],
+            [pa.array([ids[t] for t, *_ in kept], pa.int64()), pa.array([held.ids[i] for _, i, *_ in kept], pa.int64()), *[pa.array([r[j] for r in kept], kind) for j, kind in ((2, pa.float64()), (3, pa.float64()), (4, pa.bool_()))], pa.array([rows[t] for t, *_ in kept], pa.int64())],
             ["doc_id", "item_id", "cosine", "lcs", "answer", "_row"],
         )
 
@@ -249,10 +252,11 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFram
 
         def clean(batches, block=block):
             for batch in batches:
-                one = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch.column("text")], ["doc_id", "text"])
-                (found,) = _matched([one], block)
+                rows = pa.array(range(batch.num_rows), pa.int64())
+                one = pa.RecordBatch.from_arrays([rows, rows, batch.column("text")], ["_row", "doc_id", "text"])
                 keep = np.ones(batch.num_rows, bool)
-                keep[found.column("_row").to_numpy()] = False
+                for found in _matched([one], block):
+                    keep[found.column("_row").to_numpy()] = False
                 yield batch.filter(pa.array(keep))
 
         out = out.mapInArrow(clean, docs.schema)
