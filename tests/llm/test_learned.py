@@ -180,6 +180,40 @@ def test_trees_learn_from_labelled_urls(spark):
     assert U.train(binned.filter("label = 1")) == (20.0, []) and U.train(binned.limit(0)) == (-20.0, [])
 
 
+def test_pages_without_a_rule_are_judged_by_their_form(spark):
+    rng = random.Random(8)
+    digits = lambda: "".join(rng.choice("0123456789") for _ in range(30))
+    words = lambda: "/".join("page" for _ in range(rng.randint(1, 4)))
+    rules = [("block" if i % 2 else "allow", f"site{i:02}.com/") for i in range(30)]
+    rows = [f"http://www.site{i % 30:02}.com/en/{digits() if i % 2 else words()}" for i in range(600)]
+    unruled = [(f"http://{h}/en/{digits() if bad else words()}", bad) for i in range(100) for bad in (0, 1) for h in (f"www.news{i:02}.com", f"www.open{i:02}.org")]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(rows + [u for u, _ in unruled])], "page_id long, url string")
+    got = {r.page_id: r for r in U.filter_urls(pages, rules).collect()}
+    judged_ = [(got[len(rows) + i], bad) for i, (_, bad) in enumerate(unruled)]
+    assert all(r.rule is None for r, _ in judged_) and len({r.score for r, _ in judged_}) > 1
+    assert sum((r.verdict == "block") == bool(bad) for r, bad in judged_) >= 0.95 * len(judged_)
+
+
+def test_label_rates_leave_the_own_fold_out(spark):
+    rng = random.Random(9)
+    rows = [(f"http://{h}/{i}", h, rng.randrange(2)) for i in range(300) for h in [rng.choice(["a.x.com", "b.x.com", "c.y.com", "d.org", "org", ""])]]
+    labelled = U._keyed(spark.createDataFrame(rows, "url string, host string, label int"))
+    table = labelled.withColumns({f"f_{k}": U.fold_of(k) for k in U.LEVELS.values()})
+    for level, side in U.label_counts(labelled).items():
+        table = table.join(side, level, "left")
+    got = table.withColumns({f"r{k}": U.label_rate(0.3, k) for k in range(4)}).withColumn("every", U.label_rate(0.3, left_out=False)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        for known, want in [*[(k, r[f"r{k}"]) for k in range(4)], (None, r.every)]:
+            names = list(U.LEVELS)[known or 0 :]
+            rate = 0.3
+            for level in reversed(names):
+                kind = U.LEVELS[names[0]]
+                same = [o.label for o in got if o[level] == r[level] and (known is None or o[f"f_{kind}"] != r[f"f_{kind}"])]
+                rate = (sum(same) + U.BACKOFF * rate) / (len(same) + U.BACKOFF)
+            assert abs(rate - want) < 1e-8
+
+
 def test_entropy_of_characters(spark):
     import math
 

@@ -5,6 +5,12 @@ equal training rows become one row with counts, and each level of a tree needs o
 gradients per node, feature and bin. Gradients are whole numbers (fixed point), so the sums, and with them
 the model, do not depend on the order of rows. Scoring is one column expression.
 
+One feature is the label rate of a page's host, backed off to its site (last two labels), its public suffix (last
+label) and the rate of all labelled pages. Rules decide by host and path, so a rate that holds a row's own label, or
+that only pages with a rule can have, would repeat the rules and leave nothing to learn for the others. Hence each
+training row is shown as four pages: one whose host is known, one of a new host, of a new site, of a new suffix. Its
+rate comes from other folds of URLs, of hosts and of sites; at last it is the rate of all.
+
 Defined cases: null URLs and URLs without ``://`` have empty host and path and fit no rule; without labelled
 URLs the model allows everything, with labels of one class it always says that class; repeated URLs count as
 often as they occur; an empty table gives an empty result; further columns are not looked at.
@@ -24,6 +30,11 @@ BINS = 64
 #: Width of a bin of each feature; what lies past the last bin falls into it.
 STEPS = {"length": 4.0, "depth": 1.0, "digits": 0.02, "entropy": 0.1, "params": 1.0, "labels": 1.0, "host_length": 1.0, "suffix": 0.02}
 FIXED = 1 << 20
+#: Levels of the label rate, and the column whose folds are left out where a level is the finest one known.
+LEVELS = {"host": "url", "site": "host", "tld": "site"}
+FOLDS = 5
+#: Weight of the coarser level's rate, in pages.
+BACKOFF = 2.0
 
 
 def host_of(url: Column) -> Column:
@@ -63,9 +74,49 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
     }
 
 
-def suffix_of(host: Column, path: Column) -> Column:
-    """Last two host labels and first path segment: what the suffix statistic is kept for."""
-    return F.concat_ws("/", F.regexp_extract(host, r"([^.]*[.])?[^.]*$", 0), F.regexp_extract(path, "^/([^/]*)", 1))
+def site_of(host: Column) -> Column:
+    return F.regexp_extract(host, r"([^.]*[.])?[^.]*$", 0)
+
+
+def suffix_of(host: Column) -> Column:
+    return F.regexp_extract(host, "[^.]*$", 0)
+
+
+def fold_of(name: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit("fold"), F.col(name)), F.lit(FOLDS))
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """``rows`` with their keys of all levels besides ``host``."""
+    return rows.withColumns({"site": site_of(F.col("host")), "tld": suffix_of(F.col("host"))})
+
+
+def label_counts(labelled: DataFrame) -> dict[str, DataFrame]:
+    """Per level and key: labelled pages and blocked ones among them, in all and by fold of each column left out there."""
+    out, kinds = {}, []
+    for level, left_out in LEVELS.items():
+        kinds.append(left_out)
+        sums = [F.count("*").alias(f"_{level}_n"), F.sum("label").alias(f"_{level}_ones")]
+        for kind in kinds:
+            each = [F.when(fold_of(kind) == f, F.col("label")) for f in range(FOLDS)]
+            sums.append(F.array(*[F.count(c) for c in each]).alias(f"_{level}_n_{kind}"))
+            sums.append(F.array(*[F.coalesce(F.sum(c), F.lit(0)) for c in each]).alias(f"_{level}_ones_{kind}"))
+        out[level] = settled(labelled.groupBy(level).agg(*sums))
+    return out
+
+
+def label_rate(prior: float, known: int = 0, left_out: bool = True) -> Column:
+    """Label rate of a page joined with all ``label_counts``, from level number ``known`` on, without the page's own fold."""
+    names = list(LEVELS)[known:]
+    rate = F.lit(prior)
+    for level in reversed(names):
+        n, ones = F.col(f"_{level}_n"), F.col(f"_{level}_ones")
+        if left_out:  # the fold column of the finest known level, at the coarser ones too
+            kind = LEVELS[names[0]]
+            at = fold_of(kind).cast("int")
+            n, ones = n - F.get(f"_{level}_n_{kind}", at), ones - F.get(f"_{level}_ones_{kind}", at)
+        rate = F.coalesce((ones + BACKOFF * rate) / (n + BACKOFF), rate)
+    return F.round(rate, 9)
 
 
 def binned(features: dict[str, Column]) -> list[Column]:
@@ -170,22 +221,25 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, max_trai
     """
     url = F.col("url")
     parsed = pages.select("page_id", url, host_of(url).alias("host"), path_of(url).alias("path"))
-    judged = parsed.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
-    labelled = judged.filter("_rule is not null").select("url", "host", "path", (F.col("_rule.verdict") == "block").cast("int").alias("label"))
-    total = labelled.count()
+    judged = _keyed(parsed.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules)))
+    labelled = judged.filter("_rule is not null").select("url", "host", "path", "site", "tld", (F.col("_rule.verdict") == "block").cast("int").alias("label"))
+    counts = label_counts(labelled)
+    total, ones = counts["tld"].agg(F.coalesce(F.sum("_tld_n"), F.lit(0)), F.coalesce(F.sum("_tld_ones"), F.lit(0))).first()
+    prior = (ones + 1.0) / (total + 2.0)
     keep = min(1.0, max_training / max(1, total))
-    sample = settled(labelled.filter(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(keep * 1_000_000)))
-    host, path = F.col("host"), F.col("path")
-    suffix = suffix_of(host, path)
-    stats = settled(sample.groupBy(suffix.alias("_suffix")).agg(((F.sum("label") + 1.0) / (F.count("*") + 2.0)).alias("_rate")))
+    sample = labelled.filter(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(keep * 1_000_000))
+    sides = {level: small_side(side) for level, side in counts.items()}
 
-    def featured(rows: DataFrame, *keep: str) -> DataFrame:
-        known = rows.withColumn("_suffix", suffix).join(small_side(stats), "_suffix", "left")
-        features = lexical(url, host, path) | {"suffix": F.coalesce("_rate", F.lit(0.5))}
-        return known.select(*keep, *binned(features))
+    def featured(rows: DataFrame, rate: Column, *keep: str) -> DataFrame:
+        for level, side in sides.items():
+            rows = rows.join(side, level, "left")
+        rows = rows.withColumn("_rate", rate)
+        return rows.select(*keep, *binned(lexical(url, F.col("host"), F.col("path")) | {"suffix": F.col("_rate")}))
 
-    base, trees = train(featured(sample, "label"))
+    shown = F.explode(F.array(*[label_rate(prior, known) for known in range(len(LEVELS) + 1)]))
+    base, trees = train(featured(sample, shown, "label"))
     score = F.round(1.0 / (1.0 + F.exp(-_margin(base, trees))), 6)
-    out = featured(judged, "page_id", "host", "path", "_rule").withColumn("score", score)
+    rate = F.when(F.col("_rule").isNull(), label_rate(prior, left_out=False)).otherwise(label_rate(prior))
+    out = featured(judged, rate, "page_id", "host", "path", "_rule").withColumn("score", score)
     by_model = F.when(F.col("score") >= 0.5, "block").otherwise("allow")
     return out.select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce("_rule.verdict", by_model).alias("verdict"), "score")
