@@ -2,13 +2,17 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import DOCS, docs
+from wardstone.llm import decontamination as D
 from wardstone.llm import toxicity as T
 from wardstone.llm import url_filters as U
 from wardstone.llm.decontamination import lcs_length, leaks, without_leaks
+from wardstone.llm.hashing import hashed_words
 
 
 def edits(a, b):
@@ -137,6 +141,40 @@ def test_leaks_whole_reworded_and_none(spark):
     assert leaks(spark.createDataFrame([], DOCS), bench).count() == 0
 
 
+def test_search_does_not_depend_on_corpus_size():
+    rng = random.Random(12)
+    items = [[f"k{rng.randrange(400)}" for _ in range(n)] for n in [*range(6, 16)] * 8]
+    vocabulary = np.unique(hashed_words([" ".join(w).encode() for w in items])[0])
+    settings = {"cosine": 0.4, "lcs": 0.6, "sure": 0.75, "answer_words": 5, "least_words": 6}
+    for n in (10_000, 3_000_000_000):
+        idf = np.log((n + 2) / (n * np.random.default_rng(1).uniform(0.05, 0.5, len(vocabulary)) + 1))
+        block = D._Block(list(range(len(items))), [" ".join(w).encode() for w in items], vocabulary, idf, basis=np.eye(len(vocabulary), dtype=np.float32), settings=settings)
+        found = 0
+        for i, item in enumerate(items):
+            planted = list(item)
+            for k in range(0, len(item) - 5, 3):
+                planted[k] = f"new{k}"
+            words = [f"u{rng.randrange(10**6)}" for _ in range(50)] + planted + [f"u{rng.randrange(10**6)}" for _ in range(50)]
+            hashed, bounds = hashed_words([" ".join(words).encode()])
+            found += any(got == i and block.verified(hashed, start, got)[1] for _, start, got, _ in block.search(hashed, bounds))
+        assert found == len(items)
+
+
+def test_any_span_that_passes_counts():
+    item = [f"k{i}" for i in range(20)]
+    words = np.unique(hashed_words([" ".join(item).encode()])[0])
+    settings = {"cosine": 0.4, "lcs": 0.6, "sure": 0.75, "answer_words": 5, "least_words": 6}
+    block = D._Block([1], [" ".join(item).encode()], words, np.ones(len(words)), basis=np.eye(len(words), dtype=np.float32), settings=settings)
+    longer, answered = [*item[:14], *["u"] * 12], [*["v"] * 8, *item[8:]]
+    for text in (longer + answered, answered + longer):
+        hashed, _ = hashed_words([" ".join(text).encode()])
+        got = [block.verified(hashed, start, 0) for start in (0, 8, 16, 24)]
+        assert any(block.passes(*g) for g in got)
+        table = pa.RecordBatch.from_pydict({"doc_id": [5], "text": [" ".join(text)]})
+        held = {"ids": [1], "texts": [" ".join(item).encode()], "vocabulary": words, "idf": np.ones(len(words)), "basis": np.eye(len(words), dtype=np.float32), "settings": settings}
+        assert [b.num_rows for b in D._matched([table], held)] == [1]
+
+
 def judged(url, rules):
     m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
     host, path = (m[1].translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")), m[2]) if m else ("", "")

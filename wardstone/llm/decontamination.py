@@ -4,8 +4,9 @@
 2. Passages (16 words, every 8) get TF-IDF weights; a randomised SVD, its products summed over partitions, gives
    the latent basis of the benchmark's passages.
 3. Every passage of every document is folded into that basis. Its latent cosine with an item counts in proportion to
-   the root of the share of its weight that lies on benchmark words; that share bounds the result, so only passages
-   that can reach the threshold are multiplied out.
+   the root of the share of its words that are benchmark words: a word outside weighs as much as the passage's known
+   ones do on average, whatever the corpus's size. Items shorter than a passage are met by passages of their own
+   length as well. The share bounds the result, so only passages that can reach the threshold are multiplied out.
 4. Candidates are checked in the text: the longest common subsequence of words between item and the span around
    the passage, and whether the item's answer (its last words) stands there. Paraphrases keep most of the sequence.
 
@@ -36,9 +37,10 @@ def _texts(batch) -> list[bytes]:
     return [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
 
 
-def _windows(n: int) -> np.ndarray:
+def _windows(n: int, width: int = WIDTH) -> np.ndarray:
     """Starts of the passages of a text of n words; the last one ends with the text."""
-    return np.arange(0, max(1, n - WIDTH + STRIDE), STRIDE) if n else np.zeros(0, np.int64)
+    stride = max(1, width * STRIDE // WIDTH)
+    return np.arange(0, max(1, n - width + stride), stride) if n else np.zeros(0, np.int64)
 
 
 def _places(vocabulary: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -118,8 +120,8 @@ def lcs_length(a: list[int], b: list[int]) -> int:
 class _Block:
     """What a task needs of a block of items: latent passages and the items' words."""
 
-    def __init__(self, ids, texts: list[bytes], vocabulary: np.ndarray, idf: np.ndarray, common_idf: float, basis: np.ndarray, settings: dict):
-        self.ids, self.vocabulary, self.idf, self.rare, self.basis, self.settings = ids, vocabulary, idf, common_idf, basis, settings
+    def __init__(self, ids, texts: list[bytes], vocabulary: np.ndarray, idf: np.ndarray, basis: np.ndarray, settings: dict):
+        self.ids, self.vocabulary, self.idf, self.basis, self.settings = ids, vocabulary, idf, basis, settings
         words, bounds = hashed_words(texts)
         self.words = [words[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         self.owners, rows = [], []
@@ -133,6 +135,8 @@ class _Block:
         self.latent = latent / np.where(norms > 0, norms, 1)
         self.owners = np.array(self.owners, np.int64)
         self.firsts = np.flatnonzero(np.append(True, self.owners[1:] != self.owners[:-1])) if len(self.owners) else self.owners
+        sizes = [len(w) for w in self.words if settings["least_words"] <= len(w) < WIDTH]
+        self.widths = sorted({WIDTH, *sizes})
         self.counts = [dict(zip(*(x.tolist() for x in np.unique(w, return_counts=True)), strict=True)) for w in self.words]
         self.rows = np.vstack([basis * idf[:, None].astype(np.float32), np.zeros((1, basis.shape[1]), np.float32)])  # last: no word
 
@@ -140,31 +144,40 @@ class _Block:
         """(text, start of passage, item, cosine) of passages whose cosine with an item reaches the threshold."""
         least = self.settings["cosine"]
         at = _places(self.vocabulary, words)
-        square = np.where(at >= 0, self.idf[at], self.rare) ** 2
-        inside = np.concatenate([[0.0], np.cumsum(np.where(at >= 0, square, 0.0))])
-        every = np.concatenate([[0.0], np.cumsum(square)])
+        inside = np.concatenate([[0], np.cumsum(at >= 0)])
         counts = np.diff(bounds)
-        per_text = [_windows(n) for n in counts]
-        text = np.repeat(np.arange(len(counts)), [len(w) for w in per_text])
-        if not len(text) or not len(self.owners):
+        if not len(self.owners):
             return
-        start = np.concatenate(per_text) + bounds[text]
-        end = np.minimum(start + WIDTH, bounds[text + 1])
-        mass_in, mass = inside[end] - inside[start], every[end] - every[start]
-        passing = np.flatnonzero((mass_in > 0) & (mass_in >= least * least * mass))
+        for width in self.widths:
+            per_text = [_windows(n, width) for n in counts]
+            text = np.repeat(np.arange(len(counts)), [len(w) for w in per_text])
+            if not len(text):
+                return
+            start = np.concatenate(per_text) + bounds[text]
+            end = np.minimum(start + width, bounds[text + 1])
+            known_words = inside[end] - inside[start]
+            share = known_words / np.maximum(end - start, 1)
+            passing = np.flatnonzero((known_words > 0) & (share >= least * least))
+            yield from self._multiplied(at, bounds, text, start, end, share, passing, width)
+
+    def _multiplied(self, at, bounds, text, start, end, share, passing, width: int):
+        """Passages of one width whose cosine with an item reaches the threshold; short ones only for items as short."""
+        least = self.settings["cosine"]
+        lengths = np.array([len(self.words[i]) for i in self.owners[self.firsts]])
+        meant = lengths == width if width < WIDTH else np.ones(len(lengths), bool)
         for part in np.array_split(passing, max(1, len(passing) // 512)):
-            places = start[part][:, None] + np.arange(WIDTH)
+            places = start[part][:, None] + np.arange(width)
             known = np.where(places < end[part][:, None], at[np.minimum(places, len(at) - 1)], -1)
             latent = self.rows[known].sum(1)
             norms = np.linalg.norm(latent, axis=1)
-            share = np.sqrt(mass_in[part] / mass[part]) / np.where(norms > 0, norms, np.inf)
-            cosines = np.maximum.reduceat(latent @ self.latent.T, self.firsts, axis=1) * share[:, None]
-            for w, i in zip(*np.nonzero(cosines >= least), strict=True):
+            scale = np.sqrt(share[part]) / np.where(norms > 0, norms, np.inf)
+            cosines = np.maximum.reduceat(latent @ self.latent.T, self.firsts, axis=1) * scale[:, None]
+            for w, i in zip(*np.nonzero((cosines >= least) & meant), strict=True):
                 k = part[w]
                 yield int(text[k]), int(start[k] - bounds[text[k]]), int(self.owners[self.firsts[i]]), float(cosines[w, i])
 
     def verified(self, words: np.ndarray, start: int, item: int) -> tuple[float, bool]:
-        """Best share of the item's words in order within a span of its length, and whether its answer is there."""
+        """Best share of the item's words in order within a span of its length, and whether its answer is there; spans that pass come first."""
         wanted = self.words[item].tolist()
         n = len(wanted)
         low, high = max(0, start - n), min(len(words), start + WIDTH + n)
@@ -177,13 +190,15 @@ class _Block:
                 shared += 1
         if shared < least or lcs_length(wanted, area) < least:  # bounds on what a span can reach
             return 0.0, False
-        best, where = 0, 0
+        answer, best = wanted[-self.settings["answer_words"] :], (False, 0, False)
         for s in range(0, max(1, len(area) - span + step), step):
-            if (got := lcs_length(wanted, area[s : s + span])) > best:
-                best, where = got, s
-        answer = wanted[-self.settings["answer_words"] :]
-        found = lcs_length(answer, area[where : where + span + step])
-        return best / n, found >= math.ceil(0.8 * len(answer))
+            got = lcs_length(wanted, area[s : s + span])
+            found = got >= least and lcs_length(answer, area[s : s + span + step]) >= math.ceil(0.8 * len(answer))
+            best = max(best, (self.passes(got / n, found), got, found))
+        return best[1] / n, best[2]
+
+    def passes(self, lcs: float, answer: bool) -> bool:
+        return lcs >= self.settings["sure"] or lcs >= self.settings["lcs"] and answer
 
 
 def _matched(batches, block: dict):
@@ -194,10 +209,9 @@ def _matched(batches, block: dict):
         for text, start, item, cosine in held.search(words, bounds):
             known = best.get((text, item))
             lcs, answer = held.verified(words[bounds[text] : bounds[text + 1]], start, item)
-            if known is None or (lcs, answer, cosine) > (known[1], known[2], known[0]):
+            if known is None or (held.passes(lcs, answer), lcs, answer, cosine) > (held.passes(*known[1:]), known[1], known[2], known[0]):
                 best[text, item] = (max(cosine, known[0] if known else 0.0), lcs, answer)
-        sure, likely = held.settings["sure"], held.settings["lcs"]
-        kept = [(t, i, *v) for (t, i), v in sorted(best.items()) if v[1] >= sure or v[1] >= likely and v[2]]
+        kept = [(t, i, *v) for (t, i), v in sorted(best.items()) if held.passes(*v[1:])]
         ids, rows = batch.column("doc_id").to_pylist(), batch.column("_row").to_pylist() if "_row" in batch.schema.names else range(batch.num_rows)
         yield pa.RecordBatch.from_arrays(
             [pa.array([ids[t] for t, *_ in kept], pa.int64()), pa.array([held.ids[i] for _, i, *_ in kept], pa.int64()), *[pa.array([r[j] for r in kept], kind) for j, kind in ((2, pa.float64()), (3, pa.float64()), (4, pa.bool_()))], pa.array([rows[t] for t, *_ in kept], pa.int64())],
@@ -222,9 +236,9 @@ def blocks_of(docs: DataFrame, benchmark: DataFrame, rank: int, block_bytes: int
         n = seen.pop(-1, 0)
         df = np.zeros(len(vocabulary))
         df[list(seen)] = list(seen.values())
-        idf, rare = np.log((n + 2) / (df + 1)), math.log(n + 2)
+        idf = np.log((n + 2) / (df + 1))
         basis = latent_basis(part, vocabulary, idf, rank)
-        yield {"ids": got.column("item_id").to_pylist(), "texts": texts, "vocabulary": vocabulary, "idf": idf, "common_idf": rare, "basis": basis, "settings": settings}
+        yield {"ids": got.column("item_id").to_pylist(), "texts": texts, "vocabulary": vocabulary, "idf": idf, "basis": basis, "settings": settings}
 
 
 def leaks(
