@@ -12,6 +12,7 @@ from wardstone.llm.suffix_dedup import deduplicated_bytes
 from wardstone.llm.toxicity import toxicity
 from wardstone.llm.url_filters import filter_urls
 from wardstone.llm.warc import archived_pages
+from wardstone.llm.whitening import whitened
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -78,3 +79,8 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated_bytes(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(table(spark, sf_dir, "embeddings"))
