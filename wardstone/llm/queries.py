@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wardstone.llm.ann import nearest
 from wardstone.llm.chat import repaired_turns
+from wardstone.llm.compression import quality
 from wardstone.llm.decontamination import leaks
 from wardstone.llm.mixing import MIX_SQL, mix
 from wardstone.llm.ngram_join import linked_components
@@ -84,3 +85,8 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
