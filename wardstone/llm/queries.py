@@ -6,6 +6,7 @@ from wardstone.llm.ann import nearest
 from wardstone.llm.chat import repaired_turns
 from wardstone.llm.compression import quality
 from wardstone.llm.decontamination import leaks
+from wardstone.llm.dialogue import damaged, repaired
 from wardstone.llm.mixing import MIX_SQL, mix
 from wardstone.llm.ngram_join import linked_components
 from wardstone.llm.sharding import shard_documents
@@ -90,3 +91,8 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired(damaged(table(spark, sf_dir, "conversations")))
