@@ -67,7 +67,20 @@ def document_targets(spark, sf):
     return hits.select(F.col("query_id").cast("bigint").alias("n"), "doc_id", "selector")
 
 
-SQL_CANDIDATES = "cand AS (SELECT q.n, d.doc_id, d.name, d.n AS dn FROM questions q JOIN docs d ON d.n // 6 = q.n % (SELECT max(n) // 6 + 1 FROM docs))"
+#: Documents go in runs of six, run r to conversation r of as many as there are (or to all of them in turn), so every document is dealt
+DEAL = 6
+SQL_DEALS = f"deals AS (SELECT least((SELECT max(conv_id) + 1 FROM conversations), (SELECT max(n) // {DEAL} + 1 FROM docs)) AS k)"
+SQL_DEALT = f"questions q JOIN deals ON true JOIN docs d ON (d.n // {DEAL}) % deals.k = (q.n // 8) % deals.k"
+SQL_CANDIDATES = f"{SQL_DEALS}, cand AS (SELECT q.n, d.doc_id, d.name, d.n AS dn FROM {SQL_DEALT})"
+
+
+def _dealt(spark, sf, *columns):
+    """Questions and documents with ``k``, the number of the deal they share."""
+    convs = C.table(spark, sf, "conversations").agg((F.max("conv_id") + 1).alias("k"))
+    runs = C.table(spark, sf, "documents").agg((F.floor(F.max("doc_id") / DEAL) + 1).alias("k"))
+    deals = convs.unionByName(runs).agg(F.min("k")).scalar()
+    q = _questions(spark, sf).withColumn("k", F.pmod(F.floor(F.col("n") / 8), deals))
+    return q, C.docs(spark, sf).select(*columns, F.col("n").alias("dn"), F.pmod(F.floor(F.col("n") / DEAL), deals).alias("k"))
 
 
 @query(
@@ -79,9 +92,8 @@ SQL_CANDIDATES = "cand AS (SELECT q.n, d.doc_id, d.name, d.n AS dn FROM question
     SELECT n, doc_id FROM t WHERE hit OR coalesce(NOT any_hit AND score = best AND best >= 3 AND ties = 1, false)""",
 )
 def targets_among_candidates(spark, sf):
-    q = _questions(spark, sf)
-    d = C.docs(spark, sf).select("doc_id", "name", (F.col("n") % 97).alias("k"))
-    cand = d.join(q.select("query_id", (F.col("n") % 97).alias("k")), "k").drop("k")
+    q, d = _dealt(spark, sf, "doc_id", "name")
+    cand = d.join(q.select("query_id", "k"), "k").drop("k", "dn")
     return TG.target_docs_among(q, cand).select(F.col("query_id").cast("bigint").alias("n"), "doc_id")
 
 
@@ -202,8 +214,8 @@ def clarification_answers(spark, sf):
 
 # --- answerability --------------------------------------------------------------------------
 
-# documents come in runs of six; each question is given one run as evidence, so the evidence grows with both tables
-SQL_EVIDENCE = f"""ev AS (SELECT q.n, d.doc_id, d.name, d.text, row_number() OVER (PARTITION BY q.n ORDER BY d.n) AS rank FROM questions q JOIN docs d ON d.n // 6 = q.n % (SELECT max(n) // 6 + 1 FROM docs)),
+# every document is evidence of some question (SQL_DEALS), in place of a retrieval's result
+SQL_EVIDENCE = f"""{SQL_DEALS}, ev AS (SELECT q.n, d.doc_id, d.name, d.text, row_number() OVER (PARTITION BY q.n ORDER BY d.n) AS rank FROM {SQL_DEALT}),
   q2 AS (SELECT *, CASE WHEN n % 9 = 0 THEN 'summarize' ELSE 'qa' END AS mode, {ordered_distinct(f"list_filter({tokens('query')}, lambda t: length(t) >= 3 AND NOT list_contains({arr(V.ANSWERABILITY_STOPWORDS)}, t))")} AS terms0, {tokens('query')} AS toks FROM questions)"""
 SQL_ANSWERABLE = f"""{SQL_BASE}, {SQL_EVIDENCE}, k AS (SELECT n, query, mode, list_distinct(terms0) AS terms, list_has_any(terms0, {arr(V.DISCOVERY_TERMS)}) AS disc,
     list_distinct(flatten(list_transform(list_filter(toks, lambda t: length(t) >= 2), lambda x: CASE WHEN x LIKE '%s' AND length(x) > 3 THEN [x, left(x, length(x) - 1)] ELSE [x] END))) AS marks FROM q2),
@@ -217,11 +229,8 @@ SQL_ANSWERABLE = f"""{SQL_BASE}, {SQL_EVIDENCE}, k AS (SELECT n, query, mode, li
 
 
 def _evidence(spark, sf):
-    runs = C.docs(spark, sf).agg((F.floor(F.max("n") / 6) + 1).alias("runs")).scalar()
-    q = _questions(spark, sf).withColumns(
-        {"mode": F.when(F.col("n") % 9 == 0, "summarize").otherwise("qa"), "k": F.pmod(F.col("n"), runs)}
-    )
-    d = C.docs(spark, sf).select("doc_id", "name", "text", F.col("n").alias("dn"), F.floor(F.col("n") / 6).alias("k"))
+    q, d = _dealt(spark, sf, "doc_id", "name", "text")
+    q = q.withColumn("mode", F.when(F.col("n") % 9 == 0, "summarize").otherwise("qa"))
     w = Window.partitionBy("k").orderBy("dn")
     ev = d.withColumn("rank", F.row_number().over(w)).join(q.select("query_id", "k"), "k").drop("k", "dn")
     return q.drop("k"), ev
