@@ -38,7 +38,7 @@ def test_matrix_same_in_all_forms(spark):
     both = docs.join(people, F.lit(True))
     seen = both.filter(A.access_allowed(F.col("acl"), "user_id", "email", "domain", "groups")).select("principal_id", "doc_id")
     rows = {}
-    for p, d in seen.collect():
+    for d, p in seen.collect():
         rows.setdefault(p, set()).add(d)
     assert rows == WANT
     allow = both.withColumn("d", A.policy_decision(F.col("acl"), "authenticated", "user_id", "email", "domain", "groups"))
@@ -82,7 +82,7 @@ def test_claims(spark):
 def test_visibility_never_leaks(spark):
     people, docs = spark.createDataFrame(PEOPLE, P), spark.createDataFrame(DOCS, f"doc_id string, acl {ACL}")
     asked = AC.make_pools(AC.with_principal_tokens(people).withColumn("query_id", F.col("principal_id")))
-    seen = AC.visible_nodes(AC.with_signature(docs), asked).select("doc_id", F.explode("pools").alias("pool_id"))
+    seen = AC.visible_nodes(AC.with_signature(docs), asked).pairs("doc_id")
     pool = {r.pool_id: r.query_id for r in asked.collect()}
     got = {}
     for d, p in seen.collect():

@@ -1,12 +1,17 @@
 import random
+import tempfile
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from wardstone.operators import ranking as R
 from wardstone.operators.bm25 import bm25_topk
-from wardstone.operators.dense import dense_topk
-from wardstone.operators.skew import last_before, nearest_rank_percentiles, topk_per_key
+from wardstone.operators.dense import dense_rejects, dense_topk
+from wardstone.operators.postings import PostingStore
+from wardstone.operators.retrieval import scan_nodes
+from wardstone.operators.skew import dense_numbers, global_numbers, last_before, nearest_rank_percentiles, topk_per_key
+from wardstone.operators.substrings import contained
+from wardstone.operators.visibility import Visible
 
 
 def rows(df, *cols):
@@ -108,16 +113,17 @@ def test_dense_matches_brute_force(spark):
     rng = np.random.default_rng(1)
     nodes = rng.normal(size=(300, 8)).astype(np.float32)
     queries = rng.normal(size=(9, 8))
-    vis = spark.createDataFrame(
-        [(f"n{i:03d}", [float(x) for x in v], ["even"] if i % 2 == 0 else ["odd", "even"]) for i, v in enumerate(nodes)],
-        "node_id string, embedding array<float>, pools array<string>",
-    ).repartition(7)
+    vis = spark.createDataFrame([(f"n{i:03d}", [float(x) for x in v], 1 + i % 2) for i, v in enumerate(nodes)], "node_id string, embedding array<float>, set_id long")
+    odd = spark.createDataFrame([("x1", [1.0] * 7, 1), ("x2", None, 2), ("x3", [], 1)], vis.schema)
+    vis = Visible(vis.unionByName(odd).repartition(7), spark.createDataFrame([(1, "even"), (2, "even"), (2, "odd")], "set_id long, pool_id string"))
     req = spark.createDataFrame(
         [(f"q{i}", "odd" if i % 2 else "even", [float(x) for x in v]) for i, v in enumerate(queries)],
         "query_id string, pool_id string, query_embedding array<double>",
     )
     whole = sorted(rows(dense_topk(req, vis, 5), "query_id", "rank", "node_id"))
     assert whole == sorted(rows(dense_topk(req, vis, 5, block=4), "query_id", "rank", "node_id"))
+    assert sorted(rows(dense_rejects(vis.nodes, req), "node_id", "components")) == [("x1", 7), ("x2", 0), ("x3", 0)]
+    assert dense_topk(req.limit(0), vis, 5).isEmpty() and dense_topk(req, vis.of(vis.nodes.limit(0)), 5).isEmpty()
     for i, q in enumerate(queries):
         ids = [j for j in range(300) if i % 2 == 0 or j % 2 == 1]
         s = {j: float(nodes[j] @ q / (np.linalg.norm(nodes[j]) * np.linalg.norm(q))) for j in ids}
@@ -152,19 +158,64 @@ def test_bm25_matches_loop_with_zero_and_negative_scores(spark):
     words = "fund call capital the of letter cash plan note lp".split()
     texts = [" ".join(rnd.choice(words) for _ in range(rnd.randint(0, 9))) for _ in range(60)]
     tiny = ["alpha alpha", "alpha beta", "alpha"]  # mean idf below zero: hits rank under unmatched nodes
-    nodes = [(f"n{i:02d}", t, ["all"]) for i, t in enumerate(texts)] + [(f"t{i}", t, ["tiny"]) for i, t in enumerate(tiny)]
+    nodes = [(f"n{i:02d}", t, 1 + i % 2, ["all"]) for i, t in enumerate(texts)] + [(f"t{i}", t, 3, ["tiny"]) for i, t in enumerate(tiny)]
     asked = {"q1": ("all", "capital call the the"), "q2": ("all", "zebra"), "q3": ("all", "?!"), "q4": ("tiny", "alpha"), "q5": ("all", "note zebra")}
-    vis = spark.createDataFrame(nodes, "node_id string, text string, pools array<string>")
+    sets = spark.createDataFrame([(1, "all"), (2, "all"), (3, "tiny")], "set_id long, pool_id string")
+    vis = Visible(spark.createDataFrame([n[:3] for n in nodes], "node_id string, text string, set_id long"), sets)
+    keys = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "key string, set_id long")
+    stored = PostingStore(spark, tempfile.mkdtemp(prefix="spark-", dir="/tmp"), buckets=3).write(vis.nodes.join(keys, "set_id").withColumnRenamed("key", "sig")).read()
     req = spark.createDataFrame([(q, p, t) for q, (p, t) in asked.items()], "query_id string, pool_id string, query string")
-    got = {}
-    for q, r, n, s in sorted(rows(bm25_topk(req, vis, 4), "query_id", "rank", "node_id", "score")):
-        got.setdefault(q, []).append((n, s))
-    assert "q3" not in got
-    for q, (pool, text) in asked.items():
-        if q == "q3":
-            continue
-        mine = [(n, t) for n, t, p in nodes if pool in p]
-        scores = bm25_scores([t for _, t in mine], text)
-        want = sorted(((n, round(s, 9)) for (n, _), s in zip(mine, scores)), key=lambda x: (-x[1], x[0]))[:4]
-        assert [n for n, _ in got[q]] == [n for n, _ in want]
-        assert all(abs(a[1] - b[1]) < 1e-6 for a, b in zip(got[q], want))
+    for found in (bm25_topk(req, vis, 4), bm25_topk(req, Visible(vis.nodes.drop("text"), sets, keys), 4, posts=stored)):
+        got = {}
+        for q, r, n, s in sorted(rows(found, "query_id", "rank", "node_id", "score")):
+            got.setdefault(q, []).append((n, s))
+        assert "q3" not in got
+        for q, (pool, text) in asked.items():
+            if q == "q3":
+                continue
+            mine = [(n, t) for n, t, _, p in nodes if pool in p]
+            scores = bm25_scores([t for _, t in mine], text)
+            want = sorted(((n, round(s, 9)) for (n, _), s in zip(mine, scores)), key=lambda x: (-x[1], x[0]))[:4]
+            assert [n for n, _ in got[q]] == [n for n, _ in want]
+            assert all(abs(a[1] - b[1]) < 1e-6 for a, b in zip(got[q], want))
+
+
+def test_segments_are_skipped_only_below_the_floor(spark, monkeypatch):
+    """Many small segments give the ranking that one gives."""
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rnd.choices(words, weights=[1 / (i + 1) for i in range(40)], k=rnd.randint(1, 30))) for _ in range(400)]
+    vis = Visible(
+        spark.createDataFrame([(f"n{i:03d}", t, i % 3) for i, t in enumerate(texts)], "node_id string, text string, set_id long"),
+        spark.createDataFrame([(0, "x"), (1, "x"), (1, "y"), (2, "y")], "set_id long, pool_id string"),
+    )
+    req = spark.createDataFrame([(f"q{i}", "xy"[i % 2], " ".join(rnd.choices(words, k=rnd.randint(1, 9)))) for i in range(30)], "query_id string, pool_id string, query string")
+    ranked = lambda: sorted(rows(bm25_topk(req, vis, 6), "query_id", "rank", "node_id", "score"))
+    one = ranked()
+    monkeypatch.setattr("wardstone.operators.postings.SEGMENT_NODES", 9)
+    monkeypatch.setattr("wardstone.operators.postings.PATTERN_ROWS", 7)
+    monkeypatch.setattr("wardstone.operators.bm25.VIEW_BLOCK", 1)
+    many = ranked()
+    assert [x[:3] for x in one] == [x[:3] for x in many] and all(abs(a[3] - b[3]) < 1e-8 for a, b in zip(one, many))
+
+
+def test_contained_patterns(spark, monkeypatch):
+    texts = {"1": "capital call of the fund", "2": "", "3": None, "4": "aaaa", "5": "über die Öl-Fonds", "6": "x" * 50_000 + "call"}
+    patterns = ["capital call", "call", "a", "aa", "Öl", "", None, "fund of", "call"]
+    t = spark.createDataFrame(list(texts.items()), "text_id string, text string")
+    p = spark.createDataFrame([(x,) for x in patterns], "pattern string")
+    want = sorted((i, x) for i, text in texts.items() for x in {x for x in patterns if x} if text and x in text)
+    assert sorted(rows(contained(t, p), "text_id", "pattern")) == want
+    monkeypatch.setattr("wardstone.operators.substrings.GROUP_CHARS", 4)
+    assert sorted(rows(contained(t, p), "text_id", "pattern")) == want
+    assert contained(t, p.limit(0)).isEmpty() and contained(t.limit(0), p).isEmpty()
+
+
+def test_numbers_without_gaps(spark):
+    names = spark.createDataFrame([(f"k{i}",) for i in range(200)], "k string").repartition(5)
+    assert sorted(n for (n,) in rows(dense_numbers(names, "k", "n", 7), "n")) == list(range(1, 201))
+    assert sorted(rows(global_numbers(names, "k", "n"), "k", "n")) == [(k, i + 1) for i, k in enumerate(sorted(f"k{i}" for i in range(200)))]
+    seen = Visible(names.withColumnRenamed("k", "node_id").withColumn("set_id", F.lit(1)), spark.createDataFrame([(1, "p"), (1, "q")], "set_id int, pool_id string"))
+    whole = rows(scan_nodes(seen), "pool_id", "node_id", "scan_pos")
+    assert sorted(whole) == [(p, k, i + 1) for p in "pq" for i, k in enumerate(sorted(f"k{i}" for i in range(200)))]
+    assert sorted(rows(scan_nodes(seen, 3), "pool_id", "node_id", "scan_pos")) == [w for w in sorted(whole) if w[2] <= 3]

@@ -196,6 +196,12 @@ SQL_FILTER_TEST = """CASE i % 8 WHEN 0 THEN source = 'google_drive' WHEN 1 THEN
       WHEN 6 THEN modified_time BETWEEN TIMESTAMP '2024-03-01' AND TIMESTAMP '2024-06-30' ELSE true END"""
 
 
+def _docs_per_pool(seen):
+    """Documents are counted per set before sets are spread to pools."""
+    sets = seen.nodes.groupBy("set_id").agg(F.count("*").alias("n"))
+    return seen.of(sets).pairs("n").groupBy("pool_id").agg(F.sum("n").alias("docs"))
+
+
 @query(
     "metadata_filters",
     f"""WITH {C.SQL_DOCS}, r AS (SELECT c_custkey AS i FROM customer), f AS (SELECT i % 72 AS k, min(i) AS i FROM r WHERE i % 8 <> 2 GROUP BY i % 72 UNION ALL SELECT i + 100000, i FROM r WHERE i % 8 = 2)
@@ -209,8 +215,7 @@ def metadata_filters(spark, sf):
     )
     pooled = AC.make_pools(asked)
     open_docs = C.docs(spark, sf).withColumn("signature", F.array(F.lit("*")))
-    seen = AC.visible_nodes(open_docs, pooled, NODE_COLUMNS).select(F.explode("pools").alias("pool_id"))
-    per_pool = seen.groupBy("pool_id").agg(F.count("*").alias("docs"))
+    per_pool = _docs_per_pool(AC.visible_nodes(open_docs, pooled, NODE_COLUMNS))
     return pooled.join(per_pool, "pool_id", "left").select("request", F.coalesce("docs", F.lit(0)).alias("docs"))
 
 
@@ -234,8 +239,7 @@ def visible_and_filtered(spark, sf):
     p = AC.with_principal_tokens(C.principals(spark, sf))
     i = F.regexp_replace("principal_id", "p", "").cast("bigint")
     pooled = AC.make_pools(p.select(F.col("principal_id").alias("query_id"), "tokens", _filters(i).alias("filters")))
-    seen = AC.visible_nodes(AC.with_signature(C.docs(spark, sf)), pooled, NODE_COLUMNS).select(F.explode("pools").alias("pool_id"))
-    per_pool = seen.groupBy("pool_id").agg(F.count("*").alias("docs"))
+    per_pool = _docs_per_pool(AC.visible_nodes(AC.with_signature(C.docs(spark, sf)), pooled, NODE_COLUMNS))
     return pooled.join(per_pool, "pool_id", "left").select("query_id", F.coalesce("docs", F.lit(0)).alias("docs"))
 
 

@@ -4,6 +4,8 @@ The tables hold no paths, access lists or principals, so these are computed from
 arithmetic; every derived table grows with its source.
 """
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,9 @@ from wardstone.functions import paths as P
 from wardstone.functions.ids import hash_embedding
 from wardstone.operators.access import make_pools, with_principal_tokens, with_signature
 from wardstone.operators.chunking import prose_nodes
+from wardstone.operators.postings import Postings, PostingStore
+from wardstone.operators.visibility import signature_key
+from wardstone.session import checkpoint_dir
 
 SEGMENTS = ["01_portfolio", "02_fund_management", "03_due_diligence", "04_market_research", "05_dealflow", "06_legal_compliance"]
 EXTENSIONS = [".pdf", ".docx", ".txt", ".xlsx"]
@@ -108,6 +113,21 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prose_nodes(with_signature(paragraphs(docs(spark, sf_dir))), NODE_KEEP, size=PARAGRAPH_SIZE)
 
 
+_STORED: dict = {}
+
+
+def stored_nodes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Postings]:
+    """Text nodes with vectors and their index, written once a session and folder of tables, as an ingest leaves them for searches."""
+    held = (spark.sparkContext.applicationId, sf_dir)
+    if held not in _STORED:
+        path = f"{checkpoint_dir(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
+        made = nodes(spark, sf_dir).select("node_id", "doc_id", "n", "text", "modality", "signature").withColumn("sig", signature_key(F.col("signature")))
+        made.withColumn("embedding", hash_embedding("text", VECTOR_DIM)).write.parquet(f"{path}/nodes")
+        kept = spark.read.parquet(f"{path}/nodes")
+        _STORED[held] = kept, PostingStore(spark, f"{path}/index").write(kept).read()
+    return _STORED[held]
+
+
 def principals(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, nk = F.col("c_custkey"), F.col("c_nationkey")
     return table(spark, sf_dir, "customer").select(

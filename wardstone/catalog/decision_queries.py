@@ -184,14 +184,14 @@ SQL_CLARIFY = f"""{SQL_ASKERS}, b AS (SELECT n, query, list_filter(list_transfor
 
 def _clarify(spark, sf):
     q = _askers(spark, sf)
-    d = docs_with_pools(_signed_docs(spark, sf), q).withColumns(
+    d = _signed_docs(spark, sf).withColumns(
         {
             "sheet_name": F.lit(None).cast("string"),
             "tabular_node_type": F.when(F.col("n") % 4 == 3, "workbook_summary"),
             "source_kind": F.when(F.col("n") % 4 == 3, "tabular"),
         }
     )
-    return q, INV.clarify(q, d.drop("n"))
+    return q, INV.clarify(q, docs_with_pools(d.drop("n"), q))
 
 
 @query("clarification_suggestions", f"WITH {SQL_CLARIFY} SELECT n, doc_id, CAST(score AS BIGINT) AS score, position FROM sugg")

@@ -12,8 +12,9 @@ from wardstone.functions.ids import hash_embedding
 from wardstone.functions.vectors import cosine
 from wardstone.operators import access as AC
 from wardstone.operators import ranking as R
-from wardstone.operators.bm25 import bm25_topk, postings
-from wardstone.operators.dense import dense_topk
+from wardstone.operators.bm25 import bm25_topk
+from wardstone.operators.dense import dense_rejects, dense_topk
+from wardstone.operators.postings import postings
 from wardstone.operators.retrieval import RetrievalParams, retrieve_multimodal, retrieve_text, scan_nodes
 from wardstone.operators.skew import topk_per_key
 
@@ -230,6 +231,33 @@ def term_postings(spark, sf):
     )
 
 
+@query(
+    "stored_postings",
+    f"""WITH {SQL_POSTINGS} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf, CAST(max(tf) AS BIGINT) AS most_tf, CAST(min(dl) AS BIGINT) AS least_dl, md5(string_agg(node_id, ',' ORDER BY node_id)) AS nodes FROM postings GROUP BY term""",
+)
+def stored_postings(spark, sf):
+    """Every term of the stored index: counts of its keys, bounds of its blocks, and the nodes that its postings name."""
+    _nodes, posts = C.stored_nodes(spark, sf)
+    counts = posts.terms.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").cast("bigint").alias("tf"))
+    opened = posts.blocks.select("term", "segment", F.explode("entries").alias("_e")).select("term", "segment", "_e.number")
+    named = opened.join(posts.nodes.select("segment", "number", "node_id"), ["segment", "number"]).groupBy("term").agg(
+        F.md5(F.array_join(F.array_sort(F.collect_list("node_id")), ",")).alias("nodes")
+    )
+    bounds = posts.blocks.groupBy("term").agg(F.max("most_tf").cast("bigint").alias("most_tf"), F.min("least_dl").cast("bigint").alias("least_dl"))
+    return counts.join(bounds, "term").join(named, "term")
+
+
+@query(
+    "dense_rejects",
+    """SELECT 'v' || vec_id AS node_id, CAST(CASE vec_id % 7 WHEN 0 THEN 63 WHEN 1 THEN 0 END AS INTEGER) AS components FROM embeddings WHERE vec_id % 7 < 2""",
+)
+def rejected_vectors(spark, sf):
+    n = F.col("vec_id")
+    cut = F.when(n % 7 == 0, F.slice("embedding", 1, 63)).when(n % 7 > 1, F.col("embedding"))
+    nodes = C.table(spark, sf, "embeddings").select(F.concat(F.lit("v"), n.cast("string")).alias("node_id"), cut.alias("embedding"))
+    return dense_rejects(nodes, C.requests(spark, sf))
+
+
 @query(
     "corpus_statistics",
     f"""WITH {SQL_POSTINGS}, s AS (SELECT count(*) AS n FROM toks) SELECT term, count(*) AS df, round(ln(s.n - count(*) + 0.5) - ln(count(*) + 0.5), 6) AS idf FROM postings, s GROUP BY term, s.n""",
@@ -261,15 +289,14 @@ SQL_BM25 = f"""{SQL_POSTINGS}, {C.SQL_PRINCIPALS}, {C.SQL_REQUESTS},
 
 def _text_world(spark, sf):
     req = C.requests(spark, sf)
-    return req, AC.visible_nodes(C.nodes(spark, sf), req)
+    nodes, posts = C.stored_nodes(spark, sf)
+    return req, AC.visible_nodes(nodes, req), posts
 
 
 @query("bm25_topk", f"WITH {SQL_BM25} SELECT query_id, node_id, rank, round(score, 5) AS score FROM lexical")
 def lexical_search(spark, sf):
-    req, visible = _text_world(spark, sf)
-    return bm25_topk(req, visible.select("node_id", "text", "pools"), K).select(
-        "query_id", "node_id", "rank", F.round("score", 5).alias("score")
-    )
+    req, visible, posts = _text_world(spark, sf)
+    return bm25_topk(req, visible, K, posts=posts).select("query_id", "node_id", "rank", F.round("score", 5).alias("score"))
 
 
 @query(
@@ -292,9 +319,8 @@ DIM = C.VECTOR_DIM
 
 def _embedded_nodes(spark, sf):
     """Text nodes with hash vectors, and page images derived from web pages."""
-    text = C.nodes(spark, sf).select("node_id", "doc_id", "text", "modality", "signature").withColumn(
-        "embedding", hash_embedding("text", DIM)
-    )
+    stored, posts = C.stored_nodes(spark, sf)
+    text = stored.select("node_id", "doc_id", "text", "modality", "signature", "embedding")
     n = F.col("page_id")
     pages = C.table(spark, sf, "pages").select(
         F.concat(F.lit("img"), n.cast("string")).alias("node_id"),
@@ -304,7 +330,7 @@ def _embedded_nodes(spark, sf):
         C.access_list(n).alias("acl"),
         hash_embedding("url", DIM).alias("embedding"),
     )
-    return text.unionByName(AC.with_signature(pages).drop("acl"))
+    return text.unionByName(AC.with_signature(pages).drop("acl")), posts
 
 
 SQL_FUSED = f"""{SQL_BM25}, {SQL_QVEC},
@@ -328,8 +354,9 @@ def sql_diversify(src, out, cap=2, k=8):
 )
 def hybrid_retrieval(spark, sf):
     req = C.requests(spark, sf)
-    visible = AC.visible_nodes(_embedded_nodes(spark, sf), req)
-    found = retrieve_text(req, visible, RetrievalParams(candidate_k=K))
+    nodes, posts = _embedded_nodes(spark, sf)
+    visible = AC.visible_nodes(nodes, req)
+    found = retrieve_text(req, visible, RetrievalParams(candidate_k=K), posts)
     return found.select("query_id", "node_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -346,8 +373,9 @@ def hybrid_retrieval(spark, sf):
 )
 def hybrid_retrieval_reranked(spark, sf):
     req = C.requests(spark, sf)
-    visible = AC.visible_nodes(_embedded_nodes(spark, sf), req)
-    found = retrieve_text(req, visible, RetrievalParams(candidate_k=K, rerank=True))
+    nodes, posts = _embedded_nodes(spark, sf)
+    visible = AC.visible_nodes(nodes, req)
+    found = retrieve_text(req, visible, RetrievalParams(candidate_k=K, rerank=True), posts)
     return found.select("query_id", "node_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -365,18 +393,19 @@ SQL_IMAGES = f"""pvec AS (SELECT 'img' || page_id AS node_id, 'page' || (page_id
 )
 def multimodal_retrieval(spark, sf):
     req = C.requests(spark, sf)
-    visible = AC.visible_nodes(_embedded_nodes(spark, sf), req)
-    evidence, _text, _images = retrieve_multimodal(req, visible, RetrievalParams(candidate_k=K))
+    nodes, posts = _embedded_nodes(spark, sf)
+    visible = AC.visible_nodes(nodes, req)
+    evidence, _text, _images = retrieve_multimodal(req, visible, RetrievalParams(candidate_k=K), posts)
     return evidence.select("query_id", "node_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
 @query(
     "inventory_scan",
     f"""WITH {SQL_POSTINGS}, {C.SQL_PRINCIPALS}, {C.SQL_REQUESTS}, v AS (SELECT r.query_id, i.node_id FROM requests r JOIN docs d ON {sql_allowed('d.acl', 'r')} JOIN ids i ON i.n = d.n)
-    SELECT query_id, node_id, pos AS scan_pos, 0.0::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY node_id) AS pos FROM v) WHERE pos <= 50""",
+    SELECT query_id, node_id, pos AS scan_pos, 0.0::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY node_id) AS pos FROM v)""",
 )
 def inventory_scan(spark, sf):
-    req, visible = _text_world(spark, sf)
-    hits = scan_nodes(visible.select("node_id", "pools"), 50)
+    req, visible, _posts = _text_world(spark, sf)
+    hits = scan_nodes(visible)
     return req.select("query_id", "pool_id").join(hits, "pool_id").select("query_id", "node_id", "scan_pos", "score")
 

@@ -4,11 +4,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardstone.functions import acl as A
-from wardstone.functions import filters as FL
 from wardstone.functions.identity import normalize_group
-from wardstone.operators.skew import broadcast_if_small, settle
-
-MAX_BROADCAST_PAIRS = 2_000_000
+from wardstone.operators.skew import broadcast_if_small, broadcast_measured, settle
+from wardstone.operators.visibility import visible_nodes
 
 
 def expand_groups(principals: DataFrame, group_map: DataFrame) -> DataFrame:
@@ -44,18 +42,6 @@ def with_signature(docs: DataFrame) -> DataFrame:
     return docs.withColumn("signature", A.acl_tokens(F.col("acl")))
 
 
-def signature_pools(signatures: DataFrame, pools: DataFrame) -> DataFrame:
-    """(signature, pool_id) pairs that may see each other.
-
-    An equi-join on access tokens between the distinct signatures and the distinct pools, both far fewer
-    than documents and members. Public documents share the one-token public signature, so the public key
-    meets each pool once, not once per document.
-    """
-    left = signatures.select("signature").distinct().withColumn("_t", F.explode("signature"))
-    right = pools.select("pool_id", F.explode("tokens").alias("_t"))
-    return left.join(right, "_t").select("signature", "pool_id").distinct()
-
-
 def make_pools(requests: DataFrame) -> DataFrame:
     """Requests with a pool_id: one pool per distinct (tokens, filters), named by its first request."""
     key = ["tokens", "filters"] if "filters" in requests.columns else ["tokens"]
@@ -64,60 +50,25 @@ def make_pools(requests: DataFrame) -> DataFrame:
     return settle(requests.join(named, cond).select(requests["*"], named["pool_id"]))
 
 
-def visible_nodes(nodes: DataFrame, requests: DataFrame, node_columns: dict | None = None) -> DataFrame:
-    """Nodes with ``pools``: the pools allowed to see them (access and metadata filter), unseen ones dropped.
-
-    No (node, pool) rows are made: pools are attached per signature and filtered inside the row. The
-    signature table is bounded by distinct ACLs; once counted to be small it is broadcast, so nodes are not
-    shuffled by signature and a signature that most nodes share is no hot key. Beyond that AQE decides.
-    """
-    has_filters = node_columns is not None and "filters" in requests.columns
-    cols = ["pool_id", "tokens"] + (["filters"] if has_filters else [])
-    pools = requests.select(*cols).dropDuplicates(["pool_id"])
-    pairs = signature_pools(nodes.select("signature"), pools)
-    if has_filters:
-        pairs = pairs.join(pools.select("pool_id", FL.prepare(F.col("filters")).alias("filters")), "pool_id")
-        entry = F.struct("pool_id", "filters")
-    else:
-        entry = F.struct("pool_id")
-    table = settle(
-        pairs.groupBy("signature").agg(
-            F.array_sort(F.collect_list("pool_id")).alias("_ids"), F.collect_list(entry).alias("_pools")
-        )
-    )
-    entries = table.agg(F.sum(F.size("_ids"))).first()[0] or 0
-    out = nodes.join(F.broadcast(table) if entries <= MAX_BROADCAST_PAIRS else table, "signature")
-    if has_filters:
-        seen = F.filter("_pools", lambda p: FL.admits(p["filters"], node_columns))
-        out = out.withColumn("pools", F.array_sort(F.transform(seen, lambda p: p["pool_id"])))
-    else:
-        out = out.withColumn("pools", F.col("_ids"))
-    return out.drop("_ids", "_pools").filter(F.size("pools") > 0)
+def _classes(principals: DataFrame) -> DataFrame:
+    """Principals as requests of pools: those with equal tokens are one."""
+    return make_pools(with_principal_tokens(principals).select(F.col("principal_id").alias("query_id"), "tokens"))
 
 
 def authorize_pairs(docs: DataFrame, principals: DataFrame) -> DataFrame:
-    """All visible (principal_id, doc_id) pairs, through token classes instead of a theta join."""
-    members = with_principal_tokens(principals)
-    classes = members.groupBy("tokens").agg(F.min("principal_id").alias("pool_id"))
-    pairs = signature_pools(with_signature(docs).select("signature"), classes)
-    by_class = with_signature(docs).select("doc_id", "signature").join(pairs, "signature")
-    who = members.join(classes, "tokens").select("principal_id", "pool_id")
-    return by_class.join(who, "pool_id").select("principal_id", "doc_id")
+    """All visible (principal_id, doc_id) pairs: sets of documents meet pools of principals, both spread out only at the end."""
+    members = _classes(principals)
+    seen = visible_nodes(with_signature(docs), members)
+    holders = seen.pools.join(members, "pool_id").select("set_id", F.col("query_id").alias("principal_id"))
+    return seen.nodes.select("doc_id", "set_id").join(broadcast_measured(holders), "set_id").select("principal_id", "doc_id")
 
 
 def visible_counts(docs: DataFrame, principals: DataFrame) -> DataFrame:
-    """Visible documents per principal without listing the pairs: counts are added per signature."""
-    members = with_principal_tokens(principals)
-    classes = members.groupBy("tokens").agg(F.min("principal_id").alias("pool_id"))
-    sizes = with_signature(docs).groupBy("signature").agg(F.count("*").alias("n"))
-    per_class = (
-        signature_pools(sizes, classes).join(sizes, "signature").groupBy("pool_id").agg(F.sum("n").alias("visible_docs"))
-    )
-    return (
-        members.join(classes, "tokens")
-        .join(per_class, "pool_id", "left")
-        .select("principal_id", F.coalesce("visible_docs", F.lit(0)).alias("visible_docs"))
-    )
+    """Visible documents per principal without listing the pairs: counts are added per set."""
+    members = _classes(principals)
+    seen = visible_nodes(with_signature(docs), members)
+    per_pool = seen.pools.join(seen.nodes.groupBy("set_id").agg(F.count("*").alias("n")), "set_id").groupBy("pool_id").agg(F.sum("n").alias("n"))
+    return members.join(per_pool, "pool_id", "left").select(F.col("query_id").alias("principal_id"), F.coalesce("n", F.lit(0)).alias("visible_docs"))
 
 
 def authorize_ranked(ranked: DataFrame, principals: DataFrame) -> tuple[DataFrame, DataFrame]:

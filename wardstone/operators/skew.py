@@ -1,5 +1,7 @@
 """Building blocks that stay whole and parallel when one key holds a large share of the rows."""
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,9 +24,17 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame
     return F.broadcast(df) if plan_size(df) <= limit else df
 
 
-def broadcast_counted(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
-    """A broadcast hint only after counting that the side really has few rows (a small job of its own)."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def broadcast_measured(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
+    """A broadcast hint only after adding up the bytes of the side's rows (a small job of its own)."""
+    fixed, wide = 16, []
+    for name, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            wide.append(F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0)))
+        elif kind.startswith(("array", "map", "struct")):
+            wide.append(F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{name}`")))), F.lit(0)))
+        fixed += 16
+    measured = df.agg(F.sum(sum(wide, F.lit(fixed)).cast("long"))).first()[0] or 0
+    return F.broadcast(df) if measured <= limit else df
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -37,6 +47,13 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def kept_table(df: DataFrame) -> DataFrame:
+    """As ``settle``, for tables that grow with the corpus: a compressed, columnar table in the checkpoint folder."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def let(value: Column, body) -> Column:
     """Bind a value once for use inside lambdas (an expression named in a lambda runs per element)."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -76,6 +93,24 @@ def number_rows(df: DataFrame, keys: list[str], pos: str, out: str, block: int =
     return b.withColumn("_n", inside).join(starts, [*keys, "_b"]).withColumn(out, F.col("_s") + F.col("_n")).drop("_b", "_s", "_n")
 
 
+def dense_numbers(df: DataFrame, key: str, out: str, pieces: int = 64) -> DataFrame:
+    """Distinct keys numbered from 1 without gaps: inside pieces dealt by hash, after the counts of the pieces before."""
+    dealt = df.select(key).withColumn("_b", F.pmod(F.xxhash64(key), F.lit(pieces)))
+    before = F.sum("count").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))  # one row a piece
+    starts = dealt.groupBy("_b").count().select("_b", F.coalesce(before, F.lit(0)).alias("_s"))
+    inside = F.row_number().over(Window.partitionBy("_b").orderBy(key))
+    return dealt.withColumn("_n", inside).join(F.broadcast(starts), "_b").select(key, (F.col("_s") + F.col("_n")).cast("long").alias(out))
+
+
+def global_numbers(df: DataFrame, key: str, out: str) -> DataFrame:
+    """Position of each row in the order of ``key``, from 1: rows are dealt by range, numbered in their part, and the parts' counts added."""
+    parts = settle(df.repartitionByRange(key).withColumn("_p", F.spark_partition_id()))
+    before = F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))  # one row a part
+    starts = parts.groupBy("_p").count().select("_p", F.coalesce(before, F.lit(0)).alias("_s"))
+    inside = F.row_number().over(Window.partitionBy("_p").orderBy(key))
+    return parts.withColumn("_n", inside).join(F.broadcast(starts), "_p").withColumn(out, F.col("_s") + F.col("_n")).drop("_p", "_s", "_n")
+
+
 def last_before(
     df: DataFrame, keys: list[str], pos: str, value: Column, out: str, block: int = 1024
 ) -> DataFrame:
