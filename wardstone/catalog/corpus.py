@@ -140,13 +140,19 @@ def principals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def asker(spark: SparkSession, sf_dir: str, n):
+    """Principal of question number n, spread over all customers."""
+    total = table(spark, sf_dir, "customer").agg(F.count("*")).scalar()
+    return F.concat(F.lit("p"), _s((n * 37) % total))
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One question per benchmark item, asked by customer number item % 100, with its pool."""
+    """One question per benchmark item with its pool; askers are drawn from all customers."""
     i = F.col("item_id")
     asked = table(spark, sf_dir, "benchmark").select(
         F.concat(F.lit("q"), _s(i)).alias("query_id"),
         F.col("text").alias("query"),
-        F.concat(F.lit("p"), _s(i % 100)).alias("principal_id"),
+        asker(spark, sf_dir, i).alias("principal_id"),
         (i % 2 == 0).alias("include_images"),
         hash_embedding("text", VECTOR_DIM).alias("query_embedding"),
     )
@@ -220,7 +226,11 @@ SQL_NODES = f"""blocks AS (SELECT d.n, d.doc_id, t.pos, trim(t.block) AS block
   nodes AS (SELECT n, doc_id, CAST(seq AS BIGINT) AS seq, string_agg(block, chr(10) || chr(10) ORDER BY pos) AS text
     FROM islands GROUP BY n, doc_id, seq)"""
 
-SQL_REQUESTS = """asked AS (SELECT 'q' || item_id AS query_id, text AS query, 'p' || (item_id % 100) AS principal_id,
+def sql_asker(n):
+    return f"'p' || (({n}) * 37 % (SELECT count(*) FROM customer))"
+
+
+SQL_REQUESTS = f"""asked AS (SELECT 'q' || item_id AS query_id, text AS query, {sql_asker('item_id')} AS principal_id,
     item_id % 2 = 0 AS include_images FROM benchmark),
   requests AS (SELECT a.*, m.tokens, m.authenticated, m.user_id, m.email, m.domain, m.groups FROM asked a JOIN members m USING (principal_id))"""
 

@@ -128,7 +128,7 @@ def candidate_documents(spark, sf):
 
 # --- inventory ------------------------------------------------------------------------------
 
-SQL_ASKERS = f"{SQL_BASE}, {C.SQL_PRINCIPALS}, askers AS (SELECT q.n, q.query, lower({strip('q.query')}) AS t, m.tokens, m.email, m.domain, m.user_id, m.groups FROM questions q JOIN members m ON m.principal_id = 'p' || (q.n % 100))"
+SQL_ASKERS = f"{SQL_BASE}, {C.SQL_PRINCIPALS}, askers AS (SELECT q.n, q.query, lower({strip('q.query')}) AS t, m.tokens, m.email, m.domain, m.user_id, m.groups FROM questions q JOIN members m ON m.principal_id = {C.sql_asker('q.n')})"
 SQL_REQUESTED = "list_filter([" + ", ".join(f"CASE WHEN {has_any('t', h)} THEN {lit(c)} END" for c, h in V.INVENTORY_CATEGORY_HINTS) + "], lambda v: v IS NOT NULL)"
 SQL_INVENTORY = f"""{SQL_ASKERS}, inv AS (SELECT *, {SQL_REQUESTED} AS requested FROM askers),
   cats AS (SELECT *, (['Portfolio', 'Fund Management', 'Due Diligence', 'Market Research', 'Dealflow', 'Legal Compliance'])[n % 6 + 1] AS category FROM docs),
@@ -141,7 +141,7 @@ SQL_INVENTORY = f"""{SQL_ASKERS}, inv AS (SELECT *, {SQL_REQUESTED} AS requested
 
 def _askers(spark, sf):
     who = AC.with_principal_tokens(C.principals(spark, sf)).select("principal_id", "tokens")
-    q = _questions(spark, sf).withColumn("principal_id", F.concat(F.lit("p"), (F.col("n") % 100).cast("string")))
+    q = _questions(spark, sf).withColumn("principal_id", C.asker(spark, sf, F.col("n")))
     return AC.make_pools(q.join(who, "principal_id"))
 
 
