@@ -9,7 +9,7 @@ from wardstone.operators.bm25 import bm25_topk
 from wardstone.operators.dense import dense_rejects, dense_topk
 from wardstone.operators.postings import PostingStore
 from wardstone.operators.retrieval import scan_nodes
-from wardstone.operators.skew import dense_numbers, global_numbers, last_before, nearest_rank_percentiles, topk_per_key
+from wardstone.operators.skew import _brackets, dense_numbers, global_numbers, last_before, nearest_rank_percentiles, topk_per_key
 from wardstone.operators.substrings import contained
 from wardstone.operators.visibility import Visible
 
@@ -104,11 +104,23 @@ def test_percentiles_match_sorting(spark):
     rnd = random.Random(9)
     data = [(k, rnd.choice([rnd.random() * 100, 7.0, 7.0])) for k in "xy" for _ in range(501)] + [("one", 3.0)]
     df = spark.createDataFrame(data, "k string, v double")
-    for k, p, v in rows(nearest_rank_percentiles(df, ["k"], "v", [0, 37.5, 50, 95, 100], buckets=16), "k", "percent", "value"):
+    for k, p, v in rows(nearest_rank_percentiles(df, ["k"], "v", [0, 37.5, 50, 95, 100]), "k", "percent", "value"):
         values = sorted(x for kk, x in data if kk == k)
         assert v == values[int(round(p / 100 * (len(values) - 1)))]
 
 
+def test_an_outlier_leaves_brackets_narrow(spark):
+    data = [("k", float(i % 9973) + i / 1e6) for i in range(20_000)] + [("k", 1e300), ("k", float("inf")), ("k", None)]
+    df = spark.createDataFrame(data, "k string, v double").repartition(6)
+    percents = [0, 1, 50, 99.9, 100]
+    values = sorted(v for _, v in data if v is not None)
+    got = {p: v for p, v in rows(nearest_rank_percentiles(df, ["k"], "v", percents, accuracy=1000), "percent", "value")}
+    assert got == {float(p): values[round(p / 100 * (len(values) - 1))] for p in percents}
+    near, _below = _brackets(df, ["k"], "v", percents, 1000)
+    assert near.groupBy("percent").count().agg(F.max("count")).first()[0] <= 20_000 * 8 / 1000 + 2
+    assert rows(nearest_rank_percentiles(df.drop("k"), [], "v", [50]), "value") == [(got[50.0],)]
+
+
 def test_dense_matches_brute_force(spark):
     rng = np.random.default_rng(1)
     nodes = rng.normal(size=(300, 8)).astype(np.float32)

@@ -133,46 +133,52 @@ def last_before(
 
 
 def nearest_rank_percentiles(
-    df: DataFrame, keys: list[str], value: str, percents: list[float], buckets: int = 4096
+    df: DataFrame, keys: list[str], value: str, percents: list[float], accuracy: int = 10_000
 ) -> DataFrame:
     """Exact nearest-rank percentiles per key (index = round-half-even(p/100 * (n-1)), zero based).
 
-    Counting, not sorting: a histogram per key (partial aggregation) finds the bucket that holds each
-    wanted position, and only the distinct values of those buckets are ranked.
+    A quantile sketch per key (merged map-side) brackets each wanted position between two values; what lies below the bracket is
+    counted, and only the distinct values inside are ranked. A bracket holds some ``n / accuracy`` rows besides repeats of one value,
+    however the values are spread, so an outlier changes nothing.
     """
     if not keys:
-        whole = nearest_rank_percentiles(df.withColumn("_all", F.lit(1)), ["_all"], value, percents, buckets)
+        whole = nearest_rank_percentiles(df.withColumn("_all", F.lit(1)), ["_all"], value, percents, accuracy)
         return whole.drop("_all")
+    near, below = _brackets(df, keys, value, percents, accuracy)
+    within = Window.partitionBy(*keys, "percent").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = near.join(below, [*keys, "percent"]).withColumn("_upto", F.col("_below") + F.sum("count").over(within))
+    need = F.bround(F.col("percent") / 100 * (F.col("_n") - 1)).cast("bigint")
+    hit = (need < F.col("_upto")) & (need >= F.col("_upto") - F.col("count"))
+    return upto.filter(hit).select(*keys, "percent", F.col("_x").alias("value"))
+
+
+def _brackets(df: DataFrame, keys: list[str], value: str, percents: list[float], accuracy: int) -> tuple[DataFrame, DataFrame]:
+    """(keys, percent, _x, count) of the values in each bracket, and (keys, percent, _n, _below) with the rows of the key and those under it.
+
+    The sketch is off by 1 / accuracy of the rows at most, so a bracket of three times that on either side holds the position; up to
+    ``accuracy`` rows are a bracket of their own.
+    """
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
-    span = rows.groupBy(*keys).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.count("*").alias("_n"))
-    counted = rows.groupBy(*keys, "_x").count()
-    width = F.col("_hi") - F.col("_lo")
-    slot = F.when(width > 0, F.least(F.floor((F.col("_x") - F.col("_lo")) / width * buckets), F.lit(buckets - 1))).otherwise(
-        F.lit(0).cast("bigint")
-    )
-    placed = counted.join(span, keys).withColumn("_slot", slot)
-    hist = placed.groupBy(*keys, "_slot").agg(F.sum("count").alias("_c"), F.first("_n").alias("_n"))
-    run = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hist = hist.withColumn("_upto", F.sum("_c").over(run))
-    wanted = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(float(p)).alias("p"), F.bround(F.lit(p / 100.0) * (F.col("_n") - 1)).cast("bigint").alias("i"))
-                for p in percents
-            ]
+    reach = 3 / accuracy
+    ends = [(p / 100 - reach, p / 100 + reach) for p in percents]
+    asked = [min(max(e, 0.0), 1.0) for pair in ends for e in pair]
+    sketch = F.percentile_approx("_x", asked, accuracy)
+    spans = settle(rows.groupBy(*keys).agg(F.count("*").alias("_n"), sketch.alias("_q")))
+    none, every = F.lit(float("-inf")), F.lit(float("nan"))  # nan is above all numbers
+    many = F.col("_n") > accuracy
+    marks = F.array(*[
+        F.struct(
+            F.lit(float(p)).alias("percent"),
+            F.when(many, F.col("_q")[2 * i] if low > 0 else none).otherwise(none).alias("low"),
+            F.when(many, F.col("_q")[2 * i + 1] if high < 1 else every).otherwise(every).alias("high"),
         )
-    )
-    hit = (
-        hist.withColumn("_w", wanted)
-        .filter((F.col("_w.i") < F.col("_upto")) & (F.col("_w.i") >= F.col("_upto") - F.col("_c")))
-        .select(*keys, "_slot", F.col("_w.p").alias("percent"), (F.col("_w.i") - (F.col("_upto") - F.col("_c"))).alias("_need"))
-    )
-    near = placed.join(hit, [*keys, "_slot"])
-    within = (
-        Window.partitionBy(*keys, "percent").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return (
-        near.withColumn("_upto", F.sum("count").over(within))
-        .filter((F.col("_need") < F.col("_upto")) & (F.col("_need") >= F.col("_upto") - F.col("count")))
-        .select(*keys, "percent", F.col("_x").alias("value"))
-    )
+        for i, (p, (low, high)) in enumerate(zip(percents, ends))
+    ])
+    counted = rows.groupBy(*keys, "_x").count()
+    placed = counted.join(broadcast_measured(spans.select(*keys, marks.alias("_marks"))), keys)
+    inside = F.filter("_marks", lambda m: (F.col("_x") >= m["low"]) & (F.col("_x") <= m["high"]))
+    near = placed.withColumn("_m", F.explode(inside)).select(*keys, F.col("_m.percent").alias("percent"), "_x", "count")
+    unders = [F.sum(F.when(F.col("_x") < F.col("_marks")[i]["low"], F.col("count")).otherwise(0)).alias(f"_u{i}") for i in range(len(percents))]
+    sums = F.array(*[F.struct(F.lit(float(p)).alias("percent"), F.col(f"_u{i}").alias("_below")) for i, p in enumerate(percents)])
+    under = placed.groupBy(*keys).agg(*unders).select(*keys, F.explode(sums).alias("_s")).select(*keys, "_s.percent", "_s._below")
+    return near, under.join(spans.select(*keys, "_n"), keys)

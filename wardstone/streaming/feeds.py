@@ -90,28 +90,39 @@ FOLLOWUP_OUT = "conv_id long, turn long, text string, previous string"
 FOLLOWUP_STATE = "turn long, text string"
 
 
-def _track(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Previous user turn for each user turn of a conversation; only the last one is kept in state.
+def _track(rest_ms: int | None):
+    """Previous user turn for each user turn of a conversation; state holds the last one, and goes when the conversation has rested.
 
     A turn that arrives late is given out without a previous one, which is no longer known, and changes no state.
     """
-    last_turn, last_text = state.get if state.exists else (-1, None)
-    rows = pd.concat(list(frames)).sort_values("turn")
-    out = []
-    for turn, text in zip(rows["turn"], rows["text"]):
-        if turn <= last_turn:
-            out.append((key[0], turn, text, None))
-            continue
-        out.append((key[0], turn, text, last_text))
-        last_turn, last_text = turn, text
-    state.update((int(last_turn), last_text))
-    yield pd.DataFrame(out, columns=["conv_id", "turn", "text", "previous"])
-
-
-def stream_followups(turns: DataFrame) -> DataFrame:
-    """User turns with the question rewritten to stand alone where it is a follow-up."""
+
+    def track(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        turn, text = state.get if state.exists else (-1, None)
+        rows = pd.concat(list(frames)).sort_values("turn", kind="stable")[["conv_id", "turn", "text"]].reset_index(drop=True)
+        asked = rows[(rows["turn"] > turn) & ~rows["turn"].duplicated()]
+        previous = asked["text"].shift(1)
+        if len(asked):
+            previous.iloc[0] = text
+            turn, text = int(asked["turn"].iloc[-1]), asked["text"].iloc[-1]
+        state.update((turn, text))
+        if rest_ms is not None:
+            state.setTimeoutDuration(rest_ms)
+        found = previous.astype(object).reindex(rows.index)
+        yield rows.assign(previous=found.where(found.notna(), None))
+
+    return track
+
+
+def stream_followups(turns: DataFrame, rest_ms: int | None = None) -> DataFrame:
+    """User turns with the question rewritten to stand alone where it is a follow-up.
+
+    In a stream that runs on, ``rest_ms`` forgets a conversation that has rested so long. A run that ends with its input (trigger
+    ``availableNow``) takes none: a timeout by the clock asks for batches for ever.
+    """
+    timeout = GroupStateTimeout.NoTimeout if rest_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     asked = turns.filter((F.col("role") == "user") & (F.trim("text") != "")).select("conv_id", "turn", "text")
-    tracked = asked.groupBy("conv_id").applyInPandasWithState(
-        _track, FOLLOWUP_OUT, FOLLOWUP_STATE, "append", GroupStateTimeout.NoTimeout
-    )
+    tracked = asked.groupBy("conv_id").applyInPandasWithState(_track(rest_ms), FOLLOWUP_OUT, FOLLOWUP_STATE, "append", timeout)
     return tracked.withColumn("rewritten", rewrite_followup("text", "previous"))
