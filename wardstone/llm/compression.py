@@ -18,7 +18,6 @@ like others; an empty table gives an empty result; further columns are not looke
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import log2
 
 import numpy as np
 import pyarrow as pa
