@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -160,6 +161,49 @@ def test_search_does_not_depend_on_corpus_size():
         assert found == len(items)
 
 
+def test_search_leaves_out_only_what_cannot_match():
+    """The same documents and items as when every passage is compared with every item of its length and then read."""
+    rng = random.Random(3)
+    items = [[f"k{rng.randrange(60)}" for _ in range(n)] for n in [*range(6, 30), 80, 200]]
+    texts = [[f"{rng.choice('kkku')}{rng.randrange(60)}" for _ in range(rng.randrange(400))] for _ in range(60)]
+    for i, words in enumerate(texts[:40]):
+        item = items[i % len(items)]
+        words[len(words) // 2 : len(words) // 2] = [w for w in item if rng.random() < 0.85]
+    vocabulary = np.unique(hashed_words([" ".join(w).encode() for w in items])[0])
+    settings = {"cosine": 0.4, "lcs": 0.6, "sure": 0.75, "answer_words": 5, "least_words": 6}
+    idf, basis = np.random.default_rng(2).uniform(1, 3, len(vocabulary)), np.linalg.qr(np.random.default_rng(1).standard_normal((len(vocabulary), 40)))[0].astype(np.float32)
+    block = D._Block(list(range(len(items))), [" ".join(w).encode() for w in items], vocabulary, idf, basis, settings)
+    words, bounds = hashed_words([" ".join(w).encode() for w in texts])
+
+    def latent(part):
+        at = D._places(vocabulary, part)
+        row = (np.bincount(at[at >= 0], minlength=len(vocabulary)) * idf) @ basis.astype(float)
+        return row / (np.linalg.norm(row) or 1), (at >= 0).mean() if len(at) else 0.0
+
+    want = set()
+    for t, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        for i, item in enumerate(block.words):
+            theirs = [latent(item[s : s + 16])[0] for s in D._windows(len(item))]
+            for width in {16, min(16, len(item))}:
+                for s in D._windows(b - a, width):
+                    row, share = latent(words[a + s : min(b, a + s + width)])
+                    if max(row @ x for x in theirs) * share**0.5 >= 0.4 and block.passes(*block.verified(words[a:b], s, i)):
+                        want.add((t, i))
+    got = {(t, i) for t, s, i, _ in block.search(words, bounds) if block.passes(*block.verified(words[bounds[t] : bounds[t + 1]], s, i))}
+    assert got == want and len(want) > 30
+
+
+def test_block_memory_follows_its_size():
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(30_000)}" for _ in range(40)).encode() for _ in range(6_000)]
+    vocabulary = np.unique(hashed_words(texts)[0])
+    tracemalloc.start()
+    D._Block(list(range(len(texts))), texts, vocabulary, np.ones(len(vocabulary)), np.ones((len(vocabulary), 128), np.float32), {"least_words": 6})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6, peak
+
+
 def test_any_span_that_passes_counts():
     item = [f"k{i}" for i in range(20)]
     words = np.unique(hashed_words([" ".join(item).encode()])[0])

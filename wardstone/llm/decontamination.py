@@ -63,11 +63,12 @@ def _count_documents(batches, vocabulary: np.ndarray):
     yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1)), pa.array(np.append(total[seen], n))], ["term", "n"])
 
 
-def _dense(places: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """TF-IDF row of a passage of benchmark words."""
-    row = np.bincount(places[places >= 0], minlength=len(idf)) * idf
-    norm = math.sqrt(float(row @ row))
-    return row / norm if norm else row
+def _weights(places: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words of a passage and their TF-IDF weights, of unit length."""
+    used, count = np.unique(places[places >= 0], return_counts=True)
+    weight = count * idf[used]
+    norm = math.sqrt(float(weight @ weight))
+    return used, weight / norm if norm else weight
 
 
 def _sketch(batches, vocabulary: np.ndarray, idf: np.ndarray, basis: np.ndarray):
@@ -78,8 +79,8 @@ def _sketch(batches, vocabulary: np.ndarray, idf: np.ndarray, basis: np.ndarray)
         at = _places(vocabulary, words)
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             for s in _windows(b - a):
-                row = _dense(at[a + s : min(b, a + s + WIDTH)], idf)
-                part += np.outer(row, row @ basis)
+                used, weight = _weights(at[a + s : min(b, a + s + WIDTH)], idf)
+                part[used] += np.outer(weight, weight @ basis[used])
     used = np.flatnonzero(np.abs(part).sum(1))
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(list(part[used]), pa.list_(pa.float64()))], ["term", "part"])
 
@@ -118,37 +119,50 @@ def lcs_length(a: list[int], b: list[int]) -> int:
 
 
 class _Block:
-    """What a task needs of a block of items: latent passages and the items' words."""
+    """What a task needs of a block of items: latent passages and the items' words. Its memory is in proportion to the block."""
 
     def __init__(self, ids, texts: list[bytes], vocabulary: np.ndarray, idf: np.ndarray, basis: np.ndarray, settings: dict):
-        self.ids, self.vocabulary, self.idf, self.basis, self.settings = ids, vocabulary, idf, basis, settings
+        self.ids, self.vocabulary, self.settings = ids, vocabulary, settings
         words, bounds = hashed_words(texts)
         self.words = [words[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        self.owners, rows = [], []
-        at = _places(vocabulary, words)
-        for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-            for s in _windows(b - a) if b - a >= settings["least_words"] else []:
-                rows.append(_dense(at[a + s : min(b, a + s + WIDTH)], idf))
-                self.owners.append(i)
-        latent = np.array(rows, np.float32).reshape(-1, len(vocabulary)) @ basis
-        norms = np.linalg.norm(latent, axis=1, keepdims=True)
-        self.latent = latent / np.where(norms > 0, norms, 1)
-        self.owners = np.array(self.owners, np.int64)
-        self.firsts = np.flatnonzero(np.append(True, self.owners[1:] != self.owners[:-1])) if len(self.owners) else self.owners
-        sizes = [len(w) for w in self.words if settings["least_words"] <= len(w) < WIDTH]
-        self.widths = sorted({WIDTH, *sizes})
         self.counts = [dict(zip(*(x.tolist() for x in np.unique(w, return_counts=True)), strict=True)) for w in self.words]
         self.rows = np.vstack([basis * idf[:, None].astype(np.float32), np.zeros((1, basis.shape[1]), np.float32)])  # last: no word
+        self.sizes = np.diff(bounds)
+        at = _places(vocabulary, words)
+        starts = [_windows(n) if n >= settings["least_words"] else _windows(0) for n in self.sizes]
+        owners = np.repeat(np.arange(len(ids)), [len(s) for s in starts])
+        first = np.concatenate(starts) + bounds[owners] if len(owners) else owners
+        latent = self._latent(at, first, np.minimum(first + WIDTH, bounds[owners + 1]), WIDTH)
+        norms = np.linalg.norm(latent, axis=1, keepdims=True)
+        latent = latent / np.where(norms > 0, norms, 1)
+        self.meant = {}  # by width of passages: items, the first latent row of each, latent rows, words
+        for width in sorted({WIDTH, *self.sizes[owners][self.sizes[owners] < WIDTH].tolist()}) if len(owners) else []:
+            of = np.flatnonzero((self.sizes[owners] == width) | (width == WIDTH))
+            heads = np.flatnonzero(np.append(True, owners[of][1:] != owners[of][:-1]))
+            known = np.zeros(len(vocabulary) + 1, bool)
+            known[at[np.isin(np.repeat(np.arange(len(ids)), self.sizes), owners[of])]] = True
+            self.meant[width] = owners[of][heads], heads, latent[of], known
+        held = np.unique(np.repeat(np.arange(len(ids)), self.sizes) * len(vocabulary) + at)
+        self.table = np.zeros(1 << max(10, (32 * len(held)).bit_length()), bool)
+        self.table[held & (len(self.table) - 1)] = True
+
+    def _latent(self, at, start, end, width: int) -> np.ndarray:
+        """Sums of the weighted basis rows of each passage's words."""
+        out = np.zeros((len(start), self.rows.shape[1]), np.float32)
+        for a in range(0, len(start), 512):
+            places = start[a : a + 512, None] + np.arange(width)
+            known = np.where(places < end[a : a + 512, None], at[np.minimum(places, len(at) - 1)], -1)
+            out[a : a + 512] = self.rows[known].sum(1)
+        return out
 
     def search(self, words: np.ndarray, bounds: np.ndarray):
-        """(text, start of passage, item, cosine) of passages whose cosine with an item reaches the threshold."""
+        """(text, start of passage, item, cosine) of passages whose cosine with an item reaches the threshold and
+        around which enough of the item's words stand for a subsequence to reach its own."""
         least = self.settings["cosine"]
         at = _places(self.vocabulary, words)
         inside = np.concatenate([[0], np.cumsum(at >= 0)])
         counts = np.diff(bounds)
-        if not len(self.owners):
-            return
-        for width in self.widths:
+        for width, (items, heads, latent, known) in self.meant.items():
             per_text = [_windows(n, width) for n in counts]
             text = np.repeat(np.arange(len(counts)), [len(w) for w in per_text])
             if not len(text):
@@ -157,24 +171,47 @@ class _Block:
             end = np.minimum(start + width, bounds[text + 1])
             known_words = inside[end] - inside[start]
             share = known_words / np.maximum(end - start, 1)
-            passing = np.flatnonzero((known_words > 0) & (share >= least * least))
-            yield from self._multiplied(at, bounds, text, start, end, share, passing, width)
-
-    def _multiplied(self, at, bounds, text, start, end, share, passing, width: int):
-        """Passages of one width whose cosine with an item reaches the threshold; short ones only for items as short."""
-        least = self.settings["cosine"]
-        lengths = np.array([len(self.words[i]) for i in self.owners[self.firsts]])
-        meant = lengths == width if width < WIDTH else np.ones(len(lengths), bool)
-        for part in np.array_split(passing, max(1, len(passing) // 512)):
-            places = start[part][:, None] + np.arange(width)
-            known = np.where(places < end[part][:, None], at[np.minimum(places, len(at) - 1)], -1)
-            latent = self.rows[known].sum(1)
-            norms = np.linalg.norm(latent, axis=1)
-            scale = np.sqrt(share[part]) / np.where(norms > 0, norms, np.inf)
-            cosines = np.maximum.reduceat(latent @ self.latent.T, self.firsts, axis=1) * scale[:, None]
-            for w, i in zip(*np.nonzero((cosines >= least) & meant), strict=True):
+            passing = (known_words > 0) & (share >= least * least)
+            if width < WIDTH:  # items of one length: their words around the passage bound what is found there
+                theirs = np.concatenate([[0], np.cumsum(known[at])])
+                low, high = self._area(bounds, text, start, width)
+                passing &= theirs[high] - theirs[low] >= self.settings["lcs"] * width
+            passing = np.flatnonzero(passing)
+            stops = np.append(heads[1:], len(latent))
+            for part in np.array_split(passing, max(1, len(passing) * len(latent) >> 22)):
+                rows = self._latent(at, start[part], end[part], width)
+                norms = np.linalg.norm(rows, axis=1)
+                scale = np.sqrt(share[part]) / np.where(norms > 0, norms, np.inf)
+                each = latent @ rows.T
+                cosines = np.array([each[a:b].max(0) for a, b in zip(heads, stops, strict=True)]) * scale
+                i, w = np.nonzero(cosines >= least)
                 k = part[w]
-                yield int(text[k]), int(start[k] - bounds[text[k]]), int(self.owners[self.firsts[i]]), float(cosines[w, i])
+                kept = self._sharing(at, bounds, text[k], start[k], items[i])
+                k, cosine, i = k[kept], cosines[i, w][kept], items[i[kept]]
+                yield from zip(text[k].tolist(), (start[k] - bounds[text[k]]).tolist(), i.tolist(), cosine.tolist(), strict=True)
+
+    @staticmethod
+    def _area(bounds, text, start, n) -> tuple[np.ndarray, np.ndarray]:
+        """The words around passages in which an item of n words is looked for."""
+        return np.maximum(bounds[text], start - n), np.minimum(bounds[text + 1], start + WIDTH + n)
+
+    def _sharing(self, at, bounds, text, start, item, most: int = 1 << 20) -> np.ndarray:
+        """Candidates with enough of the item's words around them. Words of others that fall into the same place of the
+        table only let more pass."""
+        n = self.sizes[item]
+        low, high = self._area(bounds, text, start, n)
+        ends = np.cumsum(high - low)
+        out, a = np.zeros(len(item), bool), 0
+        while a < len(item):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+            size = high[a:b] - low[a:b]
+            offset = np.cumsum(size) - size
+            place = at[np.repeat(low[a:b] - offset, size) + np.arange(size.sum())]
+            slot = (np.repeat(item[a:b] * len(self.vocabulary), size) + place) & (len(self.table) - 1)
+            shared = np.add.reduceat((self.table[slot] & (place >= 0)).astype(np.int64), offset)
+            out[a:b] = shared >= self.settings["lcs"] * n[a:b]
+            a = b
+        return out
 
     def verified(self, words: np.ndarray, start: int, item: int) -> tuple[float, bool]:
         """Best share of the item's words in order within a span of its length, and whether its answer is there; spans that pass come first."""
