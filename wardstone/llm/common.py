@@ -1,8 +1,9 @@
 """Small helpers the training-data operators share."""
 
+import gc
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardstone.session import checkpoint_dir
@@ -23,6 +24,16 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files and checkpoints that no plan refers to any more.
+
+    It learns of them only when the driver collects its garbage, which a driver with room may not do during a whole
+    job; jobs of many steps call this between them, so their disk follows the live tables.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_side(df: DataFrame, max_bytes: int = 32 * 1024 * 1024) -> DataFrame:
     """A broadcast hint only after measuring rows times width; otherwise the join stays a shuffle that AQE may split."""
     text = [c for c, t in df.dtypes if t in ("string", "binary")]
