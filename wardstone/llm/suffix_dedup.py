@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardstone.llm.common import settled, small_side
+from wardstone.llm.common import release, settled, small_side, written
 from wardstone.llm.hashing import mixed
 
 REACH = 16
@@ -263,7 +263,7 @@ def deduplicated_bytes(docs: DataFrame, length: int = 50) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row of ``docs`` (``doc_id, text``)."""
     if not 2 * REACH < length < 200:
         raise ValueError("length must lie between 33 and 199 bytes")
-    # a key that is never null keeps both joins below on one and the same shuffle of the texts
+    # a key that is never null: rows without an id keep their matches
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(62, (total // 18).bit_length() + 7)
@@ -279,9 +279,12 @@ def deduplicated_bytes(docs: DataFrame, length: int = 50) -> DataFrame:
     ranked = marked_copies(texts.select("doc_id", "text")).filter("not copy").select("doc_id", "text")
     anchored = ranked.mapInArrow(partial(_anchored, length=length, bits=bits), ANCHORS)
     repeated = anchored.repartition("key").sortWithinPartitions("key").mapInArrow(_repeated, MARKS)
-    marked = repeated.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("key")).agg(F.collect_list("place").alias("places"))
+    # each step is written down and its shuffles go before the next one's begin: disk holds one step's at a time
+    marked = written(repeated.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("key")).agg(F.collect_list("place").alias("places")))
+    release(docs.sparkSession)
     stretches = texts.join(marked, "key").mapInArrow(partial(_stretched, length=length), STRETCHES)
     anchor = F.xxhash64(F.substring("packed", 1, REACH))
     ranges = stretches.repartition(anchor).sortWithinPartitions("packed").mapInArrow(partial(_removed, length=length), RANGES)
-    gathered = ranges.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("key")).agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    gathered = written(ranges.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("key")).agg(F.collect_list(F.struct("start", "stop")).alias("ranges")))
+    release(docs.sparkSession)
     return marked_copies(texts.join(gathered, "key", "left")).select("doc_id", "text", "ranges", "copy").mapInArrow(partial(_finished, length=length), RESULT)
