@@ -2,6 +2,7 @@
 
 import gc
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,21 +12,40 @@ from wardstone.session import checkpoint_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def tidy(spark: SparkSession):
+    """Queries made and run inside remove their shuffle files when they end, not when the driver collects garbage.
+
+    Their results are in the checkpoint folder or on the driver by then. The session's own setting comes back after.
+    """
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """Written once to the cluster's checkpoint folder: a lost executor re-reads it instead of recomputing."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    with tidy(df.sparkSession):
+        return df.select("*").checkpoint()
 
 
 def written(df: DataFrame) -> DataFrame:
     """As ``settled``, for tables as large as the input: a compressed table in the checkpoint folder."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with tidy(df.sparkSession):
+        df.select("*").write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the shuffle files and checkpoints that no plan refers to any more.
+    """Lets Spark's cleaner remove the checkpoints that no plan refers to any more, and what shuffle files are left.
 
     It learns of them only when the driver collects its garbage, which a driver with room may not do during a whole
     job; jobs of many steps call this between them, so their disk follows the live tables.
@@ -38,7 +58,8 @@ def small_side(df: DataFrame, max_bytes: int = 32 * 1024 * 1024) -> DataFrame:
     """A broadcast hint only after measuring rows times width; otherwise the join stays a shuffle that AQE may split."""
     text = [c for c, t in df.dtypes if t in ("string", "binary")]
     wide = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in text), F.lit(16 + 16 * len(df.columns)))
-    measured = df.agg(F.sum(wide)).first()[0] or 0
+    with tidy(df.sparkSession):
+        measured = df.agg(F.sum(wide)).first()[0] or 0
     return F.broadcast(df) if measured <= max_bytes else df
 
 
