@@ -1,8 +1,12 @@
-"""Follow-up state over several batches."""
+"""Follow-up state, ingest runs and access changes over several batches."""
 
 import uuid
 
+from pyspark.sql import functions as F
+
+from wardstone.plans.ingesting import registry
 from wardstone.session import checkpoint_dir
+from wardstone.sources.tables import NodeStore, run_status
 from wardstone.streaming import feeds as X
 
 TURNS = "conv_id long, turn long, role string, text string"
@@ -22,3 +26,36 @@ def test_late_and_repeated_turns_change_no_state(spark):
     got = sorted(((r.conv_id, r.turn, r.previous) for r in spark.read.parquet(f"{root}/out").collect()), key=str)
     want = [(1, 0, None), (1, 1, None), (1, 2, "What is the fund size?"), (1, 4, "and what about it?"), (1, 4, None), (2, 5, None)]
     assert got == sorted(want, key=str)
+
+
+ACL = "struct<allowed_groups:array<string>,is_public:boolean>"
+
+
+def test_replays_change_nothing_and_the_feed_reaches_stored_nodes(spark):
+    root = f"{checkpoint_dir(spark)}/feed-{uuid.uuid4().hex}"
+    docs = lambda rows: spark.createDataFrame(rows, f"doc_id string, text string, acl {ACL}")
+    changes = lambda rows: spark.createDataFrame(rows, f"doc_id string, changed_at long, acl {ACL}")
+    nodes = lambda: {r.doc_id: (r.text, tuple(r.acl.allowed_groups), r.acl.is_public) for r in NodeStore(spark, f"{root}/nodes").read().collect()}
+    version = lambda: NodeStore(spark, f"{root}/nodes").version()
+    load, feed = X.ingest_batch(root, ["doc_id", "acl"], acl_log=f"{root}/acl"), X.acl_batch(f"{root}/acl", f"{root}/nodes")
+
+    first = docs([("a", "alpha text", (["g"], True)), ("b", "beta text", (["g"], True)), ("c", "", (["g"], True))])
+    load(first, 0)
+    before, at, runs = nodes(), version(), spark.read.parquet(f"{root}/runs").count()
+    assert sorted(before) == ["a", "b"] and sorted(r.doc_id for r in registry(spark, root).collect()) == ["a", "b", "c"]
+    load(first, 0)
+    load(first.withColumn("text", F.lit("other")), 0)  # the batch's run has ended
+    assert nodes() == before and version() == at and spark.read.parquet(f"{root}/runs").count() == runs
+
+    late = changes([("a", 5, (["new"], False)), ("x", 5, (["new"], False))])
+    feed(late, 0)
+    assert nodes() == before | {"a": ("alpha text", ("new",), False)}
+    at = version()
+    feed(late, 0)
+    feed(changes([("a", 3, (["early"], True))]), 1)
+    assert nodes()["a"] == ("alpha text", ("new",), False) and version() == at
+
+    load(docs([("a", "alpha again", (["g"], True)), ("d", "delta text", (["g"], True))]), 1)
+    assert nodes()["a"] == ("alpha again", ("new",), False) and sorted(r.doc_id for r in registry(spark, root).collect()) == ["a", "b", "c", "d"]
+    states = {r.run_id: (r.status, r.added, r.updated) for r in run_status(spark.read.parquet(f"{root}/runs")).collect()}
+    assert states == {"stream-0": ("completed", 3, 0), "stream-1": ("completed", 1, 1)}

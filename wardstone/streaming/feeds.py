@@ -10,6 +10,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wardstone.functions.intent import rewrite_followup
 from wardstone.functions.text import content_hash
+from wardstone.plans.ingesting import ingest
 from wardstone.sources.tables import NodeStore, read_or_none
 
 
@@ -19,16 +20,46 @@ def stream_ingest(docs: DataFrame, store: NodeStore, to_nodes) -> DataStreamWrit
     The last row per document in a batch wins; a replayed batch rewrites the same rows; a document that yields no
     nodes any more loses its old ones.
     """
-    facts = [c for c in docs.columns if c != "doc_id"]
 
     def write(batch: DataFrame, _batch_id: int) -> None:
-        order = F.col("modified_time") if "modified_time" in facts else F.to_json(F.struct(*facts))
-        latest = batch.groupBy("doc_id").agg(F.max_by(F.struct(*facts), order).alias("_d")).select("doc_id", "_d.*")
+        latest = latest_documents(batch)
         store.replace_documents(to_nodes(latest), latest)
 
     return docs.writeStream.foreachBatch(write)
 
 
+def latest_documents(batch: DataFrame) -> DataFrame:
+    """The last row per document by ``modified_time``, or by its contents where there is no such column."""
+    facts = [c for c in batch.columns if c != "doc_id"]
+    order = F.col("modified_time") if "modified_time" in facts else F.to_json(F.struct(*facts))
+    return batch.groupBy("doc_id").agg(F.max_by(F.struct(*facts), order).alias("_d")).select("doc_id", "_d.*")
+
+
+def ingest_batch(state_dir: str, keep: list[str], name: str = "stream", acl_log: str | None = None, **options):
+    """A batch function that brings nodes, registry and run log up to date together, one run per batch.
+
+    The run is named after the batch. A batch whose run has ended is left alone, so a replay writes nothing; one that broke off is
+    compared with the registry again and only replaces whole documents. Access lists of the feed in ``acl_log`` win over those
+    that arrive with a document, so that a new text does not bring a withdrawn list back.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark, run = batch.sparkSession, f"{name}-{batch_id}"
+        log = read_or_none(spark, f"{state_dir}/runs")
+        if log is not None and not log.filter((F.col("run_id") == run) & F.col("status").startswith("completed")).isEmpty():
+            return
+        latest = latest_documents(batch)
+        fed = None if acl_log is None else current_acl(spark, acl_log)
+        ingest(spark, latest if fed is None else restamp(latest, fed), state_dir, run, keep, **options)
+
+    return write
+
+
+def stream_ingest_runs(docs: DataFrame, state_dir: str, keep: list[str], **options) -> DataStreamWriter:
+    """Arriving documents ingested run by run, see ``ingest_batch``; the options are its own and those of ``ingest``."""
+    return docs.writeStream.foreachBatch(ingest_batch(state_dir, keep, **options))
+
+
 def latest_acl(changes: DataFrame) -> DataFrame:
     """Newest access list per document from change rows (doc_id, changed_at, acl)."""
     return changes.groupBy("doc_id").agg(
@@ -36,16 +67,32 @@ def latest_acl(changes: DataFrame) -> DataFrame:
     )
 
 
-def stream_acl(changes: DataFrame, root: str) -> DataStreamWriter:
-    """Change feed kept as an append-only log; ``current_acl`` reads the latest list per document.
+def acl_batch(root: str, nodes_dir: str | None = None):
+    """A batch function that logs access changes and, with ``nodes_dir``, stamps the stored nodes of the changed documents.
 
-    Each batch writes its own folder and overwrites it when replayed, so retries change nothing.
+    Each batch writes its own folder of the log and overwrites it when replayed. Nodes get the newest list of the whole log, so
+    changes that arrive late or again don't win, and only nodes whose list differs are written.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         latest_acl(batch).write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+        store = None if nodes_dir is None else NodeStore(spark, nodes_dir)
+        stored = None if store is None else store.read()
+        if stored is None:
+            return
+        changed = spark.read.parquet(f"{root}/batch={batch_id}").select("doc_id")
+        newest = current_acl(spark, root).join(changed, "doc_id", "left_semi")
+        hit = stored.join(newest.select("doc_id", F.col("acl").alias("_new")), "doc_id")
+        stale = hit.filter(~F.to_json("acl").eqNullSafe(F.to_json("_new"))).select("doc_id").distinct()
+        store.replace_documents(restamp(stored.join(stale, "doc_id", "left_semi"), newest).select(*stored.columns))
+
+    return write
+
 
-    return changes.writeStream.foreachBatch(write)
+def stream_acl(changes: DataFrame, root: str, nodes_dir: str | None = None) -> DataStreamWriter:
+    """Change feed kept as an append-only log and applied to stored nodes, see ``acl_batch``; ``current_acl`` reads the latest lists."""
+    return changes.writeStream.foreachBatch(acl_batch(root, nodes_dir))
 
 
 def current_acl(spark, root: str) -> DataFrame | None:
