@@ -2,8 +2,10 @@
 
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
+from wardstone.catalog import stream_queries as SQ
 from wardstone.plans.ingesting import registry
 from wardstone.session import checkpoint_dir
 from wardstone.sources.tables import NodeStore, run_status
@@ -59,3 +61,15 @@ def test_replays_change_nothing_and_the_feed_reaches_stored_nodes(spark):
     assert nodes()["a"] == ("alpha again", ("new",), False) and sorted(r.doc_id for r in registry(spark, root).collect()) == ["a", "b", "c", "d"]
     states = {r.run_id: (r.status, r.added, r.updated) for r in run_status(spark.read.parquet(f"{root}/runs")).collect()}
     assert states == {"stream-0": ("completed", 3, 0), "stream-1": ("completed", 1, 1)}
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_streams_read_tables_that_are_folders(spark, parts):
+    root = f"{checkpoint_dir(spark)}/tables-{uuid.uuid4().hex}"
+    docs = spark.createDataFrame([(i, f"text {i % 4}") for i in range(12)], "doc_id long, text string")
+    docs.repartition(parts).write.parquet(f"{root}/documents.parquet")
+    turns = [(c, t, "user", f"question {t}") for c in range(5) for t in (0, 2)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(parts).write.parquet(f"{root}/conversations.parquet")
+    assert SQ.stream_dedupe(spark, root).first().documents == 4
+    assert {(r.conv_id, r.rewritten.split("\n")[0]) for r in SQ.stream_followups(spark, root).collect()} == {(c, "question 0") for c in range(5)}
+    assert SQ.stream_ingest(spark, root).count() == 12
