@@ -223,6 +223,14 @@ def test_contained_patterns(spark, monkeypatch):
     assert contained(t, p.limit(0)).isEmpty() and contained(t.limit(0), p).isEmpty()
 
 
+def test_contained_moves_no_patterns_beside_texts(spark):
+    t = spark.createDataFrame([(str(i), "a text") for i in range(50)], "text_id string, text string")
+    out = contained(t, spark.createDataFrame([("text",), ("none",)], "pattern string"))
+    assert "array<string>" not in out._jdf.queryExecution().optimizedPlan().schema().simpleString()
+    assert "FlatMapCoGroupsInArrow" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.count() == 50
+
+
 def test_numbers_without_gaps(spark):
     names = spark.createDataFrame([(f"k{i}",) for i in range(200)], "k string").repartition(5)
     assert sorted(n for (n,) in rows(dense_numbers(names, "k", "n", 7), "n")) == list(range(1, 201))

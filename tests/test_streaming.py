@@ -66,7 +66,7 @@ def test_replays_change_nothing_and_the_feed_reaches_stored_nodes(spark):
 @pytest.mark.parametrize("parts", [1, 3])
 def test_streams_read_tables_that_are_folders(spark, parts):
     root = f"{checkpoint_dir(spark)}/tables-{uuid.uuid4().hex}"
-    docs = spark.createDataFrame([(i, f"text {i % 4}") for i in range(12)], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, f"text {i % 4}") for i in range(12)] + [(12, None)], "doc_id long, text string")
     docs.repartition(parts).write.parquet(f"{root}/documents.parquet")
     turns = [(c, t, "user", f"question {t}") for c in range(5) for t in (0, 2)]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(parts).write.parquet(f"{root}/conversations.parquet")
