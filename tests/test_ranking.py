@@ -239,3 +239,33 @@ def test_numbers_without_gaps(spark):
     whole = rows(scan_nodes(seen), "pool_id", "node_id", "scan_pos")
     assert sorted(whole) == [(p, k, i + 1) for p in "pq" for i, k in enumerate(sorted(f"k{i}" for i in range(200)))]
     assert sorted(rows(scan_nodes(seen, 3), "pool_id", "node_id", "scan_pos")) == [w for w in sorted(whole) if w[2] <= 3]
+
+
+def test_titles_of_common_tokens_meet_by_profiles(spark, monkeypatch):
+    from wardstone.operators.targeting import title_matches
+
+    monkeypatch.setattr("wardstone.operators.targeting.COMMON_TITLES", 3)
+    kinds = ["letter", "memo", "report"]
+    names = {f"d{i:02}": f"q{i % 4 + 1} 202{i % 3} {kinds[i % 3]} {i // 2 if i % 5 else 'alpha beta'}.pdf" for i in range(40)}
+    asked = ["q1 2020 letter 6 pdf", "q2 2021 memo", "q3 2022 report 13", "alpha beta letter 2020", "q1 17", "letter", "q2 2021 memo 3 alpha", "", "2020 q4 pdf 9 11"]
+
+    def brute(text, allowed):
+        words = lambda x: {w for w in x.replace(".", " ").split() if len(w) > 1}
+        scores = {}
+        for d, name in names.items():
+            both = words(text) & words(name)
+            s = len(both) + any(w.startswith("20") and len(w) == 4 for w in both) + any(w in ("q1", "q2", "q3", "q4") for w in both)
+            if allowed(d) and len(words(text)) >= 2 and len(both) >= 2 and s >= 3:
+                scores.setdefault(s, []).append(d)
+        top = scores[max(scores)] if scores else []
+        return top[0] if len(top) == 1 else None
+
+    q = spark.createDataFrame([(f"{p}{i}", t, p) for i, t in enumerate(asked) for p in "xy"], "query_id string, query string, pool_id string")
+    docs = spark.createDataFrame(list(names.items()), "doc_id string, name string")
+    want = {(f"{p}{i}", brute(t, lambda d: True)) for i, t in enumerate(asked) for p in "xy"}
+    assert set(title_matches(q, docs).collect()) == {w for w in want if w[1]}
+    number = F.substring("doc_id", 2, 2).cast("int")
+    seen = Visible(docs.withColumn("set_id", number % 4), spark.createDataFrame([(0, "x"), (1, "x"), (1, "y"), (3, "y")], "set_id int, pool_id string"))
+    sees = {"x": (0, 1), "y": (1, 3)}
+    want = {(f"{p}{i}", brute(t, lambda d: int(d[1:]) % 4 in sees[p])) for i, t in enumerate(asked) for p in "xy"}
+    assert any(w[1] for w in want) and set(title_matches(q, docs, seen).collect()) == {w for w in want if w[1]}
