@@ -33,6 +33,12 @@ def test_matrix_same_in_all_forms(spark):
     for p, d in AC.authorize_pairs(docs, people).collect():
         got.setdefault(p, set()).add(d)
     assert got == WANT
+    rows = AC.authorize_classes(docs.unionByName(docs.withColumn("doc_id", F.concat("doc_id", F.lit("_copy")))), people.unionByName(people.withColumn("principal_id", F.concat("principal_id", F.lit("_too"))))).collect()
+    pairs, who = {(p, d) for k, p, d in rows if k == "pair"}, {p: c for k, p, c in rows if k == "principal"}
+    what = {d: c for k, c, d in rows if k == "document"}
+    assert len(who) == 2 * len(PEOPLE) and len(what) == 2 * len(DOCS) and len([r for r in rows if r[0] == "pair"]) == sum(map(len, WANT.values()))
+    for p, c in who.items():
+        assert {d for d, k in what.items() if (c, k) in pairs} == {x + e for x in WANT[p.removesuffix("_too")] for e in ("", "_copy")}
     counts = {r.principal_id: r.visible_docs for r in AC.visible_counts(docs, people).collect()}
     assert counts == {k: len(v) for k, v in WANT.items()}
     both = docs.join(people, F.lit(True))

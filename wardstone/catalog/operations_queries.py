@@ -570,6 +570,10 @@ def reader_gaps(spark, sf):
     return have.select(F.col("file_id").alias("doc_id"), F.lit("read").alias("state")).unionByName(gone.select(F.col("file_id").alias("doc_id"), F.lit("missing").alias("state")))
 
 
+#: bytes of the lines written to one file, on the average
+FILE_BYTES = 8_000_000
+
+
 @query(
     "file_scan",
     """SELECT 'part-' || lang || '.txt' AS name, '.txt' AS suffix, 'lang=' || lang AS folder, count(*) AS lines, sum(length(text))::BIGINT AS chars,
@@ -578,8 +582,12 @@ def reader_gaps(spark, sf):
 def file_scan(spark, sf):
     """Files of lines written, scanned, decoded and compared line by line."""
     root = f"{checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
-    d = C.table(spark, sf, "documents").select("lang", F.replace("text", F.lit("\n"), F.lit(" ")).alias("value"))
-    d.repartition("lang").write.partitionBy("lang").text(root)
+    d = C.table(spark, sf, "documents").select("doc_id", "lang", F.replace("text", F.lit("\n"), F.lit(" ")).alias("value"))
+    # a file is read as one row, so the lines of a language go to as many files as its bytes ask for
+    total = d.agg(F.sum(F.octet_length("value"))).first()[0] or 0
+    pieces = max(1, -(-total // FILE_BYTES))
+    dealt = d.withColumn("_piece", F.pmod(F.xxhash64("doc_id"), F.lit(pieces)))
+    dealt.repartition(pieces, "_piece").drop("doc_id", "_piece").write.partitionBy("lang").text(root)
     ok, skipped = SF.scan_files(spark, root)
     assert skipped.filter("path LIKE '%.txt'").isEmpty()
     docs = SF.docs_from_binary(ok)
