@@ -269,3 +269,19 @@ def test_titles_of_common_tokens_meet_by_profiles(spark, monkeypatch):
     sees = {"x": (0, 1), "y": (1, 3)}
     want = {(f"{p}{i}", brute(t, lambda d: int(d[1:]) % 4 in sees[p])) for i, t in enumerate(asked) for p in "xy"}
     assert any(w[1] for w in want) and set(title_matches(q, docs, seen).collect()) == {w for w in want if w[1]}
+
+
+def test_suggestions_by_profiles_are_those_by_pairs(spark, monkeypatch):
+    from wardstone.operators import inventory as I
+
+    names = [(f"d{i:02}", f"Q{i % 4 + 1} 202{i % 3} {['Letter', 'Memo', 'Report'][i % 3]} {100 + i}.pdf", f"0{i % 2}_portfolio/en", i % 3, "tabular" if i % 5 == 0 else None) for i in range(60)]
+    nodes = spark.createDataFrame(names, "doc_id string, name string, folder_path string, set_id int, source_kind string")
+    nodes = nodes.withColumns({c: F.lit(None).cast("string") for c in ("drive_path", "sheet_name", "tabular_node_type")})
+    seen = Visible(nodes, spark.createDataFrame([(0, "x"), (1, "x"), (1, "y"), (2, "y")], "set_id int, pool_id string"))
+    asked = ["the letter of 2021", "memo 107 and report 108", "portfolio report 2022 letter 115", "nothing here", "letter 106"]
+    q = spark.createDataFrame([(f"{p}{i}", t, p) for i, t in enumerate(asked) for p in "xy"], "query_id string, query string, pool_id string")
+    got = {}
+    for limit in (10**9, 25, 0):  # all terms rare, some, none
+        monkeypatch.setattr(I, "COMMON_PAIRS", limit)
+        got[limit] = sorted(rows(I.clarify(q, seen), "query_id", "position", "doc_id", "clarify_score"))
+    assert len(got[0]) >= 24 and got[10**9] == got[25] == got[0]
