@@ -87,3 +87,15 @@ def test_hidden_documents_neither_tie_nor_hide(spark):
     filters = pre_target(routed, both).first().filters
     assert filters is None or not filters.doc_ids
     assert make_pools(routed).count() == 1
+
+
+def test_verdict_is_read_once(spark):
+    """The JSON of a verdict is parsed once a row, however many fields look at it."""
+    from wardstone.functions.answers import parse_verdict
+
+    texts = ['a {"answerable": true, "support_indices": [2, "1", 9, "x", 2, true, 3.0]} b', '{"answerable": "", "reason": "r"}', "none", None, "{} {}", '{"answerable": 1, "support_indices": []}', '{"answerable": 1, "reason": "0"}']
+    read = spark.createDataFrame([(t,) for t in texts], "raw string").select(parse_verdict("raw", F.lit(3)).alias("v"))
+    got = [r.v and (r.v.answerable, r.v.reason, r.v.support, r.v.source) for r in read.collect()]
+    assert got == [(True, "supported", [2, 1, 3], "llm"), (False, "r", [], "llm"), None, None, None, (True, "supported", [1], "llm"), (True, "supported", [1], "llm")]
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") <= 3 and plan.count("regexp_extract") <= 1

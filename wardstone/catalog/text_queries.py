@@ -475,7 +475,7 @@ def model_verdict_parse(spark, sf):
         F.when(i % 4 == 0, F.lit(', "support_indices": [2, "1", 9, "x", 2]')).otherwise(F.lit("")), F.lit("} end"),
     )
     raw = F.when(i % 7 == 5, "no object").when(i % 7 == 6, "{broken} and {more}").otherwise(body)
-    v = C.table(spark, sf, "events").select("event_id", AN.parse_verdict(raw, F.lit(3)).alias("v"))
+    v = C.spread(C.table(spark, sf, "events"), "event_id").select("event_id", AN.parse_verdict(raw, F.lit(3)).alias("v"))
     return v.select("event_id", "v.answerable", "v.reason", F.array_join("v.support", ",").alias("support"))
 
 
