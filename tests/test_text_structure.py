@@ -198,3 +198,14 @@ def test_answerability_arbitration(spark):
     assert run("how long is the runway", "summarize", '{"answerable": false}').reason == "summary_supported"
     assert run("which texts mention the runway", "qa", '{"answerable": false}').answerable
     assert not run("how long is the runway", "qa", '{"answerable": false, "reason": "no"}').answerable
+
+
+def test_blocks_are_not_gathered_by_sheet(spark):
+    """Tables of one row a sheet go to the rows; no join brings a sheet's rows to one task."""
+    rows = [("d", "w.xlsx", "s", 1, False, r, c, f"v{r}{c}") for r in range(1, 61) for c in (1, 2)]
+    cells = spark.createDataFrame(rows, "doc_id string, workbook string, sheet_name string, sheet_index int, sheet_hidden boolean, row_idx long, col_idx int, value string")
+    sheets, data, _warnings = TB.sheet_table(cells)
+    out = TB.row_blocks(sheets, data)
+    assert sum(r.row_end - r.row_start + 1 for r in out.collect()) == data.count()
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") >= 4

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from wardstone import vocab as V
 from wardstone.functions.ids import column_letter
 from wardstone.functions.text import collapse_ws, col
-from wardstone.operators.skew import let, number_rows, topk_per_key
+from wardstone.operators.skew import broadcast_measured, kept_table, let, number_rows, settle, topk_per_key
 
 SHEET = ["doc_id", "sheet_index"]
 SHEET_FACTS = ["workbook", "sheet_name", "sheet_hidden"]
@@ -119,7 +119,7 @@ def infer_headers(rows: DataFrame, caps: TabularCaps = TabularCaps()) -> DataFra
 
 def data_rows(rows: DataFrame, headers: DataFrame) -> DataFrame:
     """Rows below the header; all rows when there is no header or nothing below it."""
-    joined = rows.join(headers, SHEET)
+    joined = rows.join(broadcast_measured(headers), SHEET)
     below = F.col("header_row").isNull() | (F.col("row_idx") > F.col("header_row"))
     return joined.filter(below | (F.col("last_row") <= F.col("header_row")))
 
@@ -153,10 +153,15 @@ def unique_headers(columns: Column, header_vals: Column) -> Column:
 
 
 def sheet_table(cells: DataFrame, caps: TabularCaps = TabularCaps()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sheets with headers, their data rows, warnings)."""
-    rows = sheet_rows(cells, caps)
+    """(sheets with headers, their data rows, warnings).
+
+    Rows are made once. What is one row a sheet is settled and sent to the rows where its bytes allow: a join by sheet would bring a
+    whole sheet, and everything grouped after it, to one task.
+    """
+    rows = kept_table(sheet_rows(cells, caps))
     kept, warnings = sheet_limits(rows, cells, caps)
-    data = data_rows(rows, infer_headers(rows, caps)).join(kept.select(*SHEET, "truncated"), SHEET)
+    flags = settle(kept.select(*SHEET, "truncated"))
+    data = data_rows(rows, settle(infer_headers(rows, caps))).join(broadcast_measured(flags), SHEET)
     facts = data.groupBy(*SHEET).agg(
         *[F.first(c).alias(c) for c in SHEET_FACTS],
         F.first("truncated").alias("truncated"),
@@ -165,7 +170,7 @@ def sheet_table(cells: DataFrame, caps: TabularCaps = TabularCaps()) -> tuple[Da
         F.min("row_idx").alias("row_start"),
         F.max("row_idx").alias("row_end"),
     )
-    sheets = (
+    sheets = settle(
         facts.join(active_columns(data), SHEET)
         .withColumn("column_headers", unique_headers(F.col("columns"), F.coalesce("header_vals", F.array().cast("array<struct<c:int,v:string>>"))))
         .withColumn("column_count", F.size("columns"))
@@ -173,7 +178,7 @@ def sheet_table(cells: DataFrame, caps: TabularCaps = TabularCaps()) -> tuple[Da
     )
     numbered = (
         number_rows(data.select(*SHEET, "row_idx", "vals"), SHEET, "row_idx", "data_no")
-        .join(sheets.select(*SHEET, "columns", "column_headers"), SHEET)
+        .join(broadcast_measured(sheets.select(*SHEET, "columns", "column_headers")), SHEET)
     )
     return sheets, numbered, warnings
 
@@ -223,9 +228,8 @@ def row_blocks(sheets: DataFrame, data: DataFrame, caps: TabularCaps = TabularCa
         _ordered_lines("lines"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform("vals", lambda x: x["c"]))))).alias("used"),
     )
-    full = blocks.join(
-        sheets.select(*SHEET, *SHEET_FACTS, "truncated", F.col("columns").alias("_all"), F.col("column_headers").alias("_names")), SHEET
-    )
+    facts = sheets.select(*SHEET, *SHEET_FACTS, "truncated", F.col("columns").alias("_all"), F.col("column_headers").alias("_names"))
+    full = blocks.join(broadcast_measured(facts), SHEET)
     names = F.transform("used", lambda c: F.get("_names", (F.array_position("_all", c) - 1).cast("int")))
     full = full.withColumn("column_headers", names)
     body = F.concat(
