@@ -6,8 +6,9 @@ import random
 from pyspark.sql import functions as F
 
 from wardstone.functions import filters as FL
+from wardstone.operators import visibility
 from wardstone.operators.access import make_pools
-from wardstone.operators.visibility import _intervals, _pool_numbers, visible_nodes
+from wardstone.operators.visibility import _intervals, _pool_numbers, visible_nodes, visible_sizes
 
 NODE = {c: c for c in ("source", "mime_type", "doc_id", "tags", "folder_path", "folder_ancestors", "modified_time")}
 SCHEMA = "node_id string, doc_id string, source string, mime_type string, tags array<string>, folder_path string, folder_ancestors array<string>, modified_time timestamp, signature array<string>"
@@ -62,6 +63,25 @@ def test_sets_against_every_pair(spark):
         assert none.nodes.isEmpty() and none.pools.isEmpty()
 
 
+def test_counts_against_every_pair_and_without_sets(spark, monkeypatch):
+    rows, asked = drawn(5, 150, 90)
+    nodes = spark.createDataFrame(rows, SCHEMA)
+    requests = spark.createDataFrame(asked, f"query_id string, tokens array<string>, filters {FL.FILTER_TYPE}")
+    held = F.coalesce(F.arrays_overlap("signature", "tokens"), F.lit(False))
+    want = dict(map(tuple, nodes.crossJoin(requests).filter(held & FL.metadata_filter(F.col("filters"), NODE)).groupBy("query_id").count().collect()))
+    # requests that each name a document of their own: sets of pools would differ by node and each list the pools of the others
+    monkeypatch.setattr(visibility, "_numbered_sets", None)
+    pooled = make_pools(requests)
+    got = {r.query_id: r.n for r in pooled.join(visible_sizes(nodes, pooled, NODE), "pool_id").collect()}
+    assert got == want and len(want) > 50
+    own = spark.range(3000).select(F.concat(F.lit("q"), F.col("id").cast("string")).alias("query_id"), F.array(F.lit("*")).alias("tokens"), F.concat(F.lit("d"), F.col("id").cast("string")).alias("d"))
+    own = make_pools(own.withColumn("filters", F.from_json(F.to_json(F.struct(F.array("d").alias("doc_ids"))), FL.FILTER_TYPE)))
+    some = spark.range(0, 6000, 2).select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("doc_id"), F.array(F.lit("*")).alias("signature"))
+    assert dict(map(tuple, own.join(visible_sizes(some, own, {"doc_id": "doc_id"}), "pool_id").select("d", "n").collect())) == {f"d{i}": 1 for i in range(0, 3000, 2)}
+    for none in (visible_sizes(nodes, pooled.limit(0), NODE), visible_sizes(nodes.limit(0), pooled, NODE)):
+        assert none.isEmpty()
+
+
 def test_more_pools_than_one_bitmap_holds(spark):
     requests = spark.range(70_000).select(F.concat(F.lit("q"), F.col("id").cast("string")).alias("query_id"), F.array(F.concat(F.lit("u:"), F.col("id").cast("string")), F.lit("*")).alias("tokens"))
     nodes = spark.createDataFrame([("all", ["*"]), ("one", ["u:69999"]), ("two", ["u:5", "u:40000"]), ("none", ["u:x"])], "node_id string, signature array<string>")

@@ -201,12 +201,6 @@ SQL_FILTER_TEST = """CASE i % 8 WHEN 0 THEN source = 'google_drive' WHEN 1 THEN
       WHEN 6 THEN modified_time BETWEEN TIMESTAMP '2024-03-01' AND TIMESTAMP '2024-06-30' ELSE true END"""
 
 
-def _docs_per_pool(seen):
-    """Documents are counted per set before sets are spread to pools."""
-    sets = seen.nodes.groupBy("set_id").agg(F.count("*").alias("n"))
-    return seen.of(sets).pairs("n").groupBy("pool_id").agg(F.sum("n").alias("docs"))
-
-
 @query(
     "metadata_filters",
     f"""WITH {C.SQL_DOCS}, r AS (SELECT c_custkey AS i FROM customer), f AS (SELECT i % 72 AS k, min(i) AS i FROM r WHERE i % 8 <> 2 GROUP BY i % 72 UNION ALL SELECT i + 100000, i FROM r WHERE i % 8 = 2)
@@ -215,13 +209,12 @@ def _docs_per_pool(seen):
 )
 def metadata_filters(spark, sf):
     i = F.col("c_custkey")
-    asked = C.table(spark, sf, "customer").select(
+    asked = C.spread(C.table(spark, sf, "customer"), "c_custkey").select(
         i.alias("request"), F.concat(F.lit("q"), i.cast("string")).alias("query_id"), F.array(F.lit("*")).alias("tokens"), _filters(i).alias("filters")
     )
     pooled = AC.make_pools(asked)
     open_docs = C.docs(spark, sf).withColumn("signature", F.array(F.lit("*")))
-    per_pool = _docs_per_pool(AC.visible_nodes(open_docs, pooled, NODE_COLUMNS))
-    return pooled.join(per_pool, "pool_id", "left").select("request", F.coalesce("docs", F.lit(0)).alias("docs"))
+    return AC.visible_filtered_counts(open_docs, pooled, NODE_COLUMNS).select("request", "docs")
 
 
 @query(
@@ -241,11 +234,10 @@ def metadata_filter_pushdown(spark, sf):
     SELECT r.principal_id AS query_id, CAST(count(d.doc_id) AS BIGINT) AS docs FROM r LEFT JOIN docs d ON {sql_allowed('d.acl', 'r')} AND ({SQL_FILTER_TEST.replace('i %', 'r.i %').replace("|| i,", "|| r.i,")}) GROUP BY r.principal_id""",
 )
 def visible_and_filtered(spark, sf):
-    p = AC.with_principal_tokens(C.principals(spark, sf))
+    p = AC.with_principal_tokens(C.spread(C.principals(spark, sf), "principal_id"))
     i = F.regexp_replace("principal_id", "p", "").cast("bigint")
     pooled = AC.make_pools(p.select(F.col("principal_id").alias("query_id"), "tokens", _filters(i).alias("filters")))
-    per_pool = _docs_per_pool(AC.visible_nodes(AC.with_signature(C.docs(spark, sf)), pooled, NODE_COLUMNS))
-    return pooled.join(per_pool, "pool_id", "left").select("query_id", F.coalesce("docs", F.lit(0)).alias("docs"))
+    return AC.visible_filtered_counts(AC.with_signature(C.docs(spark, sf)), pooled, NODE_COLUMNS).select("query_id", "docs")
 
 
 @query(

@@ -155,9 +155,9 @@ def _facets(node: dict) -> Column:
 # --- sets ----------------------------------------------------------------------------------------
 
 
-def _matched(profiles: DataFrame, pools: DataFrame, node: dict) -> tuple[DataFrame, DataFrame]:
-    """(profile, kind) of each distinct metadata value, kinds being its asked keys, and (kind, bucket, bits) of the matching pools."""
-    named = pools.select("pool_no", FL.prepare(F.col("filters")).alias("flt")).withColumn("filter", F.coalesce(F.md5(F.to_json("flt")), F.lit("none")))
+def _answered(profiles: DataFrame, pools: DataFrame, node: dict, *of_pool: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(profile, kind) of each distinct metadata value, kinds being its asked keys, the pools (of_pool, filter) and (kind, filter) where they match."""
+    named = pools.select(*of_pool, FL.prepare(F.col("filters")).alias("flt")).withColumn("filter", F.coalesce(F.md5(F.to_json("flt")), F.lit("none")))
     named = settle(named)
     asked = settle(filter_keys(named.dropDuplicates(["filter"]).select("filter", "flt"), "modified_time" in node))
     levels = [int(r[0]) for r in asked.filter(F.col("part") == MODIFIED).select(F.split("value", ":")[0]).distinct().collect()]  # 64 at most
@@ -168,8 +168,14 @@ def _matched(profiles: DataFrame, pools: DataFrame, node: dict) -> tuple[DataFra
     answers = settle(answers.select("profile", F.md5(F.to_json("keys")).alias("kind"), "keys"))
     per_kind = answers.dropDuplicates(["kind"]).select("kind", F.explode("keys").alias("k")).select("kind", "k.part", "k.value")
     met = per_kind.join(asked, ["part", "value"]).groupBy("kind", "filter").agg(F.size(F.collect_set("part")).alias("met"), F.max("need").alias("need"))
-    bits = met.filter("met = need").join(_bitmaps(named, "filter"), "filter").groupBy("kind", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
-    return answers.select("profile", "kind"), bits
+    return answers.select("profile", "kind"), named.drop("flt"), met.filter("met = need").select("kind", "filter")
+
+
+def _matched(profiles: DataFrame, pools: DataFrame, node: dict) -> tuple[DataFrame, DataFrame]:
+    """(profile, kind) of each distinct metadata value and (kind, bucket, bits) of the matching pools."""
+    kinds, named, met = _answered(profiles, pools, node, "pool_no")
+    bits = met.join(_bitmaps(named, "filter"), "filter").groupBy("kind", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    return kinds, bits
 
 
 def _numbered_sets(bits: DataFrame, keys: list[str], pools: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -183,6 +189,12 @@ def _numbered_sets(bits: DataFrame, keys: list[str], pools: DataFrame) -> tuple[
     return sets, numbered.join(pools.select("pool_no", "pool_id"), "pool_no").select("set_id", "pool_id")
 
 
+def _distinct_facts(keyed: DataFrame, node: dict, *more: Column) -> DataFrame:
+    """(sig, profile, signature, filter columns) of each distinct access list and metadata, of nodes with ``_sig`` and ``_profile``."""
+    facts = [F.first(c).alias(c) for c in sorted(set(node.values()))]
+    return keyed.filter("_sig is not null").groupBy(F.col("_sig").alias("sig"), F.col("_profile").alias("profile")).agg(F.first("signature").alias("signature"), *facts, *more)
+
+
 def visible_nodes(nodes: DataFrame, requests: DataFrame, node_columns: dict | None = None) -> Visible:
     """Nodes that some request may see (access and, with ``node_columns``, metadata filter), with their sets.
 
@@ -201,8 +213,7 @@ def visible_nodes(nodes: DataFrame, requests: DataFrame, node_columns: dict | No
         marks, on = access.withColumnRenamed("key", "_sig"), ["_sig"]
     else:
         keyed = keyed.withColumn("_profile", _facets(node_columns))
-        facts = [F.first(c).alias(c) for c in sorted(set(node_columns.values()))]
-        seen = settle(keyed.filter("_sig is not null").groupBy(F.col("_sig").alias("sig"), F.col("_profile").alias("profile")).agg(F.first("signature").alias("signature"), *facts))
+        seen = settle(_distinct_facts(keyed, node_columns))
         access = settle(access_bitmaps(seen.dropDuplicates(["sig"]).select("sig", "signature"), pools))
         kinds, by_filter = _matched(seen.dropDuplicates(["profile"]), pools, node_columns)
         both = settle(seen.select("sig", "profile").join(kinds, "profile"))
@@ -215,3 +226,21 @@ def visible_nodes(nodes: DataFrame, requests: DataFrame, node_columns: dict | No
         access, marks = None, settle(marks)
     out = keyed.join(broadcast_measured(marks), on).drop("_sig", "_profile")
     return Visible(out, settle(side), access)
+
+
+def visible_sizes(nodes: DataFrame, requests: DataFrame, node_columns: dict) -> DataFrame:
+    """(pool_id, n): how many nodes each pool sees that pass its filters; pools that see none are left out.
+
+    Arguments as for ``visible_nodes``. Nodes are counted by (access list, filter), pools by the access lists that their tokens open, and the two
+    meet in a join: filters that name single documents then cost as many rows as they match, where sets of pools would differ by
+    node and each be listed whole.
+    """
+    keyed = nodes.withColumns({"_sig": signature_key(F.col("signature")), "_profile": _facets(node_columns)})
+    seen = settle(_distinct_facts(keyed, node_columns, F.count("*").alias("n")))
+    pools = requests.select("pool_id", "tokens", "filters").dropDuplicates(["pool_id"]).withColumn("held", F.md5(F.to_json("tokens")))
+    kinds, named, met = _answered(seen.dropDuplicates(["profile"]), pools, node_columns, "pool_id", "held", "tokens")
+    sizes = seen.join(kinds, "profile").groupBy("sig", "kind").agg(F.sum("n").alias("n"))
+    sizes = sizes.join(met, "kind").groupBy("filter", "sig").agg(F.sum("n").alias("n"))
+    of_token = seen.dropDuplicates(["sig"]).select("sig", F.explode("signature").alias("token"))
+    opened = named.dropDuplicates(["held"]).select("held", F.explode("tokens").alias("token")).join(of_token, "token").select("held", "sig").distinct()
+    return named.select("pool_id", "held", "filter").join(opened, "held").join(sizes, ["filter", "sig"]).groupBy("pool_id").agg(F.sum("n").alias("n"))
