@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from wardstone.catalog.stream_queries import _world, quoting_model
 from wardstone.plans.answering import answer_requests
 from wardstone.plans.ingesting import ingest, registry
+from wardstone.operators.skew import settle
+from wardstone.sources import tables
 from wardstone.sources.tables import NodeStore, run_status
 from wardstone.functions import acl as A
 
@@ -99,3 +101,15 @@ def test_verdict_is_read_once(spark):
     assert got == [(True, "supported", [2, 1, 3], "llm"), (False, "r", [], "llm"), None, None, None, (True, "supported", [1], "llm"), (True, "supported", [1], "llm")]
     plan = read._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") <= 3 and plan.count("regexp_extract") <= 1
+
+
+def test_an_ingest_keeps_no_second_copy_of_its_nodes(spark, tmp_path, monkeypatch):
+    kept = []
+    monkeypatch.setattr(tables, "settle", lambda df: kept.append(df.columns) or settle(df))
+    docs = spark.createDataFrame([(f"d{i}", "One line. " * (i + 1)) for i in range(20)], "doc_id string, text string")
+    assert tuple(ingest(spark, docs, str(tmp_path), "r1", ["doc_id"]).first())[:3] == (20, 0, 0)
+    later = docs.withColumn("text", F.when(F.col("doc_id") == "d3", "").when(F.col("doc_id") == "d4", "New.").otherwise(F.col("text")))
+    assert tuple(ingest(spark, later, str(tmp_path), "r2", ["doc_id"]).first())[:3] == (0, 2, 0)
+    stored = {r.doc_id: r.text for r in tables.NodeStore(spark, f"{tmp_path}/nodes").read().collect()}
+    assert stored == {f"d{i}": "New." if i == 4 else ("One line. " * (i + 1)).strip() for i in range(20) if i != 3}
+    assert kept and all(c == ["doc_id"] for c in kept)

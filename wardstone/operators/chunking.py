@@ -10,7 +10,6 @@ from wardstone.operators.skew import let
 
 SENTENCE = r"(?U)[^.!?]*[.!?]+[\"')\]]*\s*|[^.!?]+$"
 WORDS = r"(\S+)"
-STRINGS = "array<string>"
 
 
 def split_blocks(text) -> Column:
@@ -33,7 +32,42 @@ def _hard_split(sentence: Column, size: int) -> Column:
             lambda j: F.array_join(F.slice(w, j * size + 1, F.lit(size)), " "),
         ),
     )
-    return F.when(_words(sentence) > size, runs).otherwise(F.array(sentence))
+    # as many words need as many characters, so most sentences are not counted
+    return F.when((F.length(sentence) > size) & (_words(sentence) > size), runs).otherwise(F.array(sentence))
+
+
+def _spans(sizes: Column, size: int, overlap: int) -> Column:
+    """First unit of each chunk and the one after its last, from the units' word counts.
+
+    A chunk is a run of units, so its bounds and its count are all that is carried from unit to unit.
+    """
+    span = "array<struct<a:int,b:int>>"
+
+    def tail(a: Column, b: Column, room: Column) -> Column:
+        """Longest run of closing units of a..b that fits both the overlap and the room left, with its words."""
+        budget = F.least(F.lit(overlap), room)
+
+        def take(t: Column, n: Column) -> Column:
+            fits = t["open"] & (t["n"] + n <= budget)
+            return F.when(fits, F.struct((t["n"] + n).alias("n"), (t["take"] + 1).alias("take"), F.lit(True).alias("open"))).otherwise(
+                F.struct(t["n"].alias("n"), t["take"].alias("take"), F.lit(False).alias("open"))
+            )
+
+        none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("take"), F.lit(True).alias("open"))
+        return F.aggregate(F.reverse(F.slice(sizes, a + 1, b - a)), none, take)
+
+    def state(n: Column, a: Column, b: Column, done: Column) -> Column:
+        return F.struct(n.cast("int").alias("n"), a.cast("int").alias("a"), b.cast("int").alias("b"), done.cast(span).alias("done"))
+
+    def step(acc: Column, n: Column) -> Column:
+        a, b = acc["a"], acc["b"]
+        done = F.concat(acc["done"], F.array(F.struct(a.alias("a"), b.alias("b"))))
+        closed = let(tail(a, b, F.lit(size) - n), lambda t: state(t["n"] + n, b - t["take"], b + 1, done))
+        return F.when((b > a) & (acc["n"] + n > size), closed).otherwise(state(acc["n"] + n, a, b + 1, acc["done"]))
+
+    start = state(F.lit(0), F.lit(0), F.lit(0), F.array())
+    rest = lambda s: F.when(s["b"] > s["a"], F.array(F.struct(s["a"].alias("a"), s["b"].alias("b")))).otherwise(F.array().cast(span))
+    return F.aggregate(sizes, start, step, lambda s: F.concat(s["done"], rest(s)))
 
 
 def split_long(block: Column, size: int = V.CHUNK_SIZE, overlap: int = V.CHUNK_OVERLAP) -> Column:
@@ -45,46 +79,13 @@ def split_long(block: Column, size: int = V.CHUNK_SIZE, overlap: int = V.CHUNK_O
         F.transform(F.regexp_extract_all(block, F.lit(f"({SENTENCE})"), 1), strip), lambda s: s != ""
     )
     units = F.flatten(F.transform(sentences, lambda s: _hard_split(s, size)))
-    sized = F.transform(units, lambda u: F.struct(u.alias("u"), _words(u).alias("n")))
-    unit = "array<struct<u:string,n:int>>"
 
-    def total(us: Column) -> Column:
-        return F.aggregate(us, F.lit(0), lambda a, x: a + x["n"])
+    def packed(us: Column) -> Column:
+        spans = let(F.transform(us, _words), lambda n: _spans(n, size, overlap))
+        return F.transform(spans, lambda s: F.array_join(F.slice(us, s["a"] + 1, s["b"] - s["a"]), " "))
 
-    def tail(us: Column, room: Column) -> Column:
-        """Longest run of closing units that fits both the overlap and the room left."""
-        budget = F.least(F.lit(overlap), room)
-        kept = F.aggregate(
-            F.reverse(us),
-            F.struct(F.lit(0).alias("n"), F.lit(0).alias("take"), F.lit(True).alias("open")),
-            lambda a, x: F.struct(
-                F.when(a["open"] & (a["n"] + x["n"] <= budget), a["n"] + x["n"]).otherwise(a["n"]).alias("n"),
-                F.when(a["open"] & (a["n"] + x["n"] <= budget), a["take"] + 1).otherwise(a["take"]).alias("take"),
-                (a["open"] & (a["n"] + x["n"] <= budget)).alias("open"),
-            ),
-            lambda a: a["take"],
-        )
-        return let(kept, lambda k: F.slice(us, F.size(us) - k + 1, k))
-
-    def text(us: Column) -> Column:
-        return F.array_join(F.transform(us, lambda x: x["u"]), " ")
-
-    def step(acc: Column, x: Column) -> Column:
-        full = (F.size(acc["cur"]) > 0) & (total(acc["cur"]) + x["n"] > size)
-        return F.struct(
-            F.when(full, F.concat(acc["done"], F.array(text(acc["cur"])))).otherwise(acc["done"]).alias("done"),
-            F.when(full, F.concat(tail(acc["cur"], F.lit(size) - x["n"]), F.array(x)))
-            .otherwise(F.concat(acc["cur"], F.array(x)))
-            .alias("cur"),
-        )
-
-    packed = F.aggregate(
-        sized,
-        F.struct(F.array().cast(STRINGS).alias("done"), F.array().cast(unit).alias("cur")),
-        step,
-        lambda a: F.concat(a["done"], F.when(F.size(a["cur"]) > 0, F.array(text(a["cur"]))).otherwise(F.array().cast(STRINGS))),
-    )
-    return F.when(_words(block) <= size, F.array(block)).otherwise(packed)
+    short = (F.length(block) < 2 * size) | (_words(block) <= size)  # words have a space between them
+    return F.when(short, F.array(block)).otherwise(let(units, packed))
 
 
 def merge_small(chunks: Column, min_chars: int = V.MIN_CHUNK_CHARS) -> Column:

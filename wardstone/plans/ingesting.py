@@ -7,7 +7,7 @@ from wardstone.functions.text import content_hash
 from wardstone.operators.chunking import prose_nodes
 from wardstone.operators.images import embed
 from wardstone.operators.metrics import registry_diff
-from wardstone.operators.skew import settle
+from wardstone.operators.skew import broadcast_measured, settle
 from wardstone.sources.tables import NodeStore, read_or_none, run_event, upsert_registry
 
 
@@ -47,7 +47,10 @@ def ingest(
         text_nodes = image_nodes = 0
         if not dry_run:
             dirty = diff.filter(F.col("change").isin("added", "updated")).select("doc_id")
-            todo = docs.join(dirty, "doc_id", "left_semi")
+            if counts.get("unchanged"):
+                todo = docs.join(broadcast_measured(dirty), "doc_id", "left_semi")
+            else:  # every document is new or changed, so none is sought
+                todo = docs.filter(F.col("doc_id").isNotNull())
             nodes = prose_nodes(todo, keep)
             if extra_nodes is not None:
                 more = extra_nodes.join(dirty, "doc_id", "left_semi")

@@ -6,7 +6,7 @@ from pyspark.sql.utils import AnalysisException
 
 from wardstone.functions.identity import normalize_group_map
 from wardstone.functions.text import strip_nul
-from wardstone.operators.skew import settle
+from wardstone.operators.skew import broadcast_measured, settle
 
 AUDIT_TABLES = ["policy_decisions", "query_runs", "query_run_evidence", "query_run_citations", "feedback_events"]
 
@@ -71,20 +71,22 @@ class NodeStore:
         """Delete every stored row of the documents, then add ``rows``: an idempotent upsert.
 
         ``documents`` names the documents where some may have no rows any more; without it they are those of ``rows``.
-        The rows are made once and read back, however often the steps below need them.
+        The rows are made once: with ``documents`` only the write reads them, without it they are kept and read back.
         """
-        rows = settle(rows)
-        self._apply((rows if documents is None else documents).select(self.key).distinct(), rows)
+        if documents is None:
+            rows = documents = settle(rows)
+        self._apply(documents.select(self.key).distinct(), rows)
 
     def delete_documents(self, keys: DataFrame) -> None:
         self._apply(keys.select(self.key).distinct(), None)
 
     def _apply(self, keys: DataFrame, rows: DataFrame | None) -> None:
+        keys = settle(keys)
         touched = [r[0] for r in keys.select(self._bucket().alias("b")).distinct().collect()]
         if not touched:
             return
         old = self.read(touched)
-        kept = None if old is None else old.join(keys, self.key, "left_anti")
+        kept = None if old is None else old.join(broadcast_measured(keys), self.key, "left_anti")
         if kept is None:
             merged = rows
         else:
