@@ -11,6 +11,7 @@ from wardstone.operators import chunking as CH
 from wardstone.operators import images as IM
 from wardstone.operators import tabular as TB
 from wardstone.operators.answerability import answerability
+from wardstone.operators import answers as OA
 from wardstone.operators.answers import finalize_answers
 
 
@@ -209,3 +210,14 @@ def test_blocks_are_not_gathered_by_sheet(spark):
     assert sum(r.row_end - r.row_start + 1 for r in out.collect()) == data.count()
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("strategy=broadcast") >= 4
+
+
+def test_citations_take_words_made_once(spark, monkeypatch):
+    drafts = spark.createDataFrame([("a", "alpha beta gamma\nnothing here\nthe alpha of x")], "query_id string, answer string")
+    ev = spark.createDataFrame([("a", 1, "d1", "n", "The beta, ALPHA and beta"), ("a", 2, "d2", "n", "alpha beta gamma the")], "query_id string, rank int, doc_id string, name string, text string")
+    want = "alpha beta gamma [2]\nnothing here\nthe alpha of x"
+    assert OA.attach_citations(drafts, ev).first().answer == want
+    kept = ev.withColumn("segments", OA.evidence_segments(["name"])).drop("text")
+    assert kept.orderBy("rank").first().segments == ["beta", "alpha"]
+    monkeypatch.setattr(OA, "evidence_segments", None)
+    assert OA.attach_citations(drafts, kept).first().answer == want

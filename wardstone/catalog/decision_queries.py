@@ -13,6 +13,7 @@ from wardstone.operators import answers as OA
 from wardstone.operators import inventory as INV
 from wardstone.operators import targeting as TG
 from wardstone.operators.answerability import answerability, judge_prompt
+from wardstone.operators.skew import kept_table
 from wardstone.plans.answering import docs_with_pools
 
 SQL_BASE = f"{C.SQL_DOCS}, {C.SQL_QUESTIONS}"
@@ -228,12 +229,16 @@ SQL_ANSWERABLE = f"""{SQL_BASE}, {SQL_EVIDENCE}, k AS (SELECT n, query, mode, li
     CASE WHEN coalesce(c, 0) = 0 THEN [] WHEN mode = 'summarize' THEN range(1, c + 1) WHEN len(terms) = 0 THEN range(1, least(c, 2) + 1) ELSE top END AS support FROM k LEFT JOIN agg USING (n))"""
 
 
-def _evidence(spark, sf):
+def _ranked_deals(spark, sf):
+    """Questions with their mode, documents with their rank in their deal."""
     q, d = _dealt(spark, sf, "doc_id", "name", "text")
     q = q.withColumn("mode", F.when(F.col("n") % 9 == 0, "summarize").otherwise("qa"))
-    w = Window.partitionBy("k").orderBy("dn")
-    ev = d.withColumn("rank", F.row_number().over(w)).join(q.select("query_id", "k"), "k").drop("k", "dn")
-    return q.drop("k"), ev
+    return q, d.withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy("dn"))).drop("dn")
+
+
+def _evidence(spark, sf):
+    q, d = _ranked_deals(spark, sf)
+    return q.drop("k"), d.join(q.select("query_id", "k"), "k").drop("k")
 
 
 @query(
@@ -278,16 +283,18 @@ def judge_prompts(spark, sf):
 SQL_REGISTRY = "string_agg('[' || rank || '] doc=' || doc_id || ' page=' || rank || ' sheet=None rows=None-None range=None node=' || doc_id || '::n0', chr(10) ORDER BY rank)"
 
 
-def _short_evidence(spark, sf, limit=4):
-    q, ev = _evidence(spark, sf)
+def _short_evidence(spark, sf, limit=4, *made):
+    """Questions and their first evidence. The documents of it, with the columns ``made`` of them, are kept once, before they meet questions."""
+    q, d = _ranked_deals(spark, sf)
+    few = kept_table(d.filter(F.col("rank") <= limit).select("*", *made))
     none = F.lit(None).cast("string")
-    few = ev.filter(F.col("rank") <= limit).withColumns(
+    few = few.join(q.select("query_id", "k"), "k").drop("k").withColumns(
         {
             "node_id": F.concat("doc_id", F.lit("::n0")), "page": F.col("rank"), "sheet_name": none, "row_start": none, "row_end": none,
             "cell_range": none, "modality": F.lit("text"),
         }
     )
-    return q, few
+    return q.drop("k"), few
 
 
 @query(
@@ -342,7 +349,7 @@ SQL_REPAIRED = f"""{SQL_BASE}, {SQL_EVIDENCE}, e4 AS (SELECT n, rank, {sql_segme
 
 
 def _drafts(spark, sf):
-    q, ev = _short_evidence(spark, sf)
+    q, ev = _short_evidence(spark, sf, 4, OA.evidence_segments(["name"]).alias("segments"))
     quote = ev.filter("rank = 2").select("query_id", F.left("text", F.lit(120)).alias("quote"))
     flat = lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit("\n"), F.lit(" "))
     second = F.when(F.col("n") % 4 == 0, "Fixed point [2]").otherwise("zz")
@@ -363,6 +370,8 @@ def answer_outcomes(spark, sf):
     n = F.col("n")
     raw = F.when(n % 11 == 1, F.lit(None).cast("string")).when(n % 11 == 2, "").otherwise(F.col("answer"))
     asked = q.withColumn("include_images", n % 2 == 0)
-    evidence = ev.withColumn("text", F.when(F.col("query_id").cast("bigint") % 13 == 3, "").otherwise(F.col("text")))
+    blank = F.col("query_id").cast("bigint") % 13 == 3
+    evidence = ev.withColumn("text", F.when(blank, "").otherwise(F.col("text")))
+    evidence = evidence.withColumn("segments", F.when(blank, OA.evidence_segments(["name"])).otherwise(F.col("segments")))
     out = OA.finalize_answers(asked, evidence, drafts.select("query_id", raw.alias("raw_answer")))
     return out.groupBy("response_status", "refusal_reason").agg(F.count("*").alias("questions"))
