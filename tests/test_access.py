@@ -94,3 +94,16 @@ def test_visibility_never_leaks(spark):
     for d, p in seen.collect():
         got.setdefault(pool[p], set()).add(d)
     assert got == WANT
+
+
+def test_all_pairs_are_listed(spark):
+    from wardstone.catalog import corpus as C
+    from wardstone.catalog.access_queries import _suppliers, authorized_pairs
+
+    sf = "/root/testdata/sf0.001"
+    got = authorized_pairs(spark, sf)
+    assert sorted(got.columns) == ["doc_id", "principal_id"]
+    both = C.docs(spark, sf).select("doc_id", "acl").join(_suppliers(spark, sf), F.lit(True))
+    want = both.filter(A.access_allowed(F.col("acl"), "user_id", "email", "domain", "groups")).select("principal_id", "doc_id")
+    names = ("principal_id", "doc_id")
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(map(tuple, want.collect()))
