@@ -331,3 +331,59 @@ def test_scan_spreads_nodes_where_their_block_is(spark, monkeypatch):
     assert sorted(rows(out, "pool_id", "node_id", "scan_pos")) == sorted(want)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.lstrip().startswith("MapInArrow")  # no window and no shuffle above the pairs
+
+
+def test_dense_state_orders_whole_blocks_only_until_it_is_full(monkeypatch):
+    import numpy as np
+    from wardstone.operators.dense import _Best
+
+    rng, k, calls = np.random.default_rng(3), 5, []
+    blocks = [(np.round(rng.random((7, 40)), 1), np.array(sorted(f"n{b}{i:03d}" for i in rng.permutation(900)[:40]), dtype=object)) for b in range(6)]
+    for scores, _ in blocks:
+        scores[rng.random(scores.shape) < 0.3] = -np.inf
+        scores[6, 1:] = -np.inf  # one request sees few nodes
+    whole, partition = _Best([f"q{i}" for i in range(7)], k), np.partition
+    monkeypatch.setattr(np, "partition", lambda *a, **b: calls.append(1) or partition(*a, **b))
+    for scores, ids in blocks:
+        whole.add(scores, ids)
+    want = []
+    for q in range(7):
+        seen = sorted((-s[q, c], ids[c]) for s, ids in blocks for c in range(40) if np.isfinite(s[q, c]))[:k]
+        want += [(f"q{q}", n, -s) for s, n in seen]
+    assert [tuple(r.values()) for r in whole.rows().to_pylist()] == want
+    assert len(calls) == 1
+
+
+def test_bm25_looks_at_nodes_with_a_term_once_its_list_is_full(monkeypatch):
+    import numpy as np
+    from wardstone.operators import bm25
+
+    class Segment:
+        def __init__(self, rng, no):
+            self.keys, self.dl = rng.integers(0, 6, 50), rng.integers(1, 9, 50).astype(float)
+            self._ids = np.array([f"n{no}{i:02d}" for i in range(50)], dtype=object)
+            self._posts = {t: (np.sort(rng.permutation(50)[:12]), rng.integers(1, 4, 12).astype(float)) for t in "abc"}
+            self.most = {t: (tf.max(), 1.0) for t, (_, tf) in self._posts.items()}
+
+        def postings(self, term):
+            return self._posts[term]
+
+        def names(self, places):
+            return self._ids[places]
+
+    rng = np.random.default_rng(4)
+    segments, looked, inside = [Segment(rng, i) for i in range(5)], [], bm25._in
+    monkeypatch.setattr(bm25, "_in", lambda sets, keys: looked.append(len(keys)) or inside(sets, keys))
+    for words, k in (([("a", 2.0), ("b", 1.0)], 4), ([("a", 2.0), ("c", -0.5)], 4), ([], 60), ([("zz", 1.0)], 3)):
+        request = {"avgdl": 4.0, "sets": np.array([1, 3, 4]), "words": [{"term": t, "w": w} for t, w in words]}
+        held, all_rows = (np.empty(0), np.empty(0, dtype=object)), []
+        for s in segments:
+            held = bm25._best_of(request, s, held, k)
+            for i in np.flatnonzero(np.isin(s.keys, [1, 3, 4])):
+                score = sum(w * bm25.gain(tf[at == i][0], s.dl[i], 4.0) for t, w in words if t in s.most for at, tf in [s.postings(t)] if i in at)
+                all_rows.append((-round(float(score), bm25.SCORE_DIGITS), s._ids[i]))
+        want = sorted(all_rows)[:k]
+        assert held[1].tolist() == [n for _, n in want] and np.allclose(held[0], [-x for x, _ in want])
+        if k == 4:
+            assert max(looked[1:]) <= 24 and looked[0] == 50
+        looked.clear()
